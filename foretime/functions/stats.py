@@ -1,20 +1,23 @@
 """Intervals and exact tests as expressions over rows that are already aggregated.
 
-Every loop is a fixed-length or sqrt(n)-length fold inside one row, so the cost
-does not depend on how many rows were aggregated.
+The t and binomial tails have no built-in; they are small helpers that see the
+aggregated rows of a report, never the rows behind them.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from foretime.functions.scalar import col
 
 Z95 = 1.959964
-_PANELS = 400
+_PANELS = 1000
 
 
 def wilson(k, n, z: float = Z95) -> Column:
@@ -27,50 +30,80 @@ def wilson(k, n, z: float = Z95) -> Column:
     return F.struct((centre - half).alias("low"), (centre + half).alias("high"))
 
 
-def log_gamma(x: Column) -> Column:
-    """ln Gamma for x > 0: shift by seven, then Stirling's series."""
-    y = x + 7.0
-    shift = F.lit(0.0)
-    for i in range(7):
-        shift = shift + F.log(x + float(i))
-    inv, inv2 = 1.0 / y, 1.0 / (y * y)
-    tail = inv * (F.lit(1 / 12) - inv2 * (F.lit(1 / 360) - inv2 * (F.lit(1 / 1260) - inv2 * (
-        F.lit(1 / 1680) - inv2 * F.lit(1 / 1188)))))
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + tail - shift
+def _tail(t: float, df: float) -> float:
+    """P(T > t): Simpson's rule on the angle form of the density."""
+    if not (df >= 1 and t == t):
+        return math.nan
+    edge = math.atan(t / math.sqrt(df))
+    grid = np.linspace(0.0, edge, 2 * _PANELS + 1)
+    height = np.cos(grid) ** (df - 1.0)
+    area = (height[0] + height[-1] + 4 * height[1:-1:2].sum() + 2 * height[2:-1:2].sum()) * (
+        edge / (6 * _PANELS))
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    return min(1.0, max(0.0, 0.5 - scale * area))
 
 
-def t_upper(t, df) -> Column:
-    """P(T > t) for Student's t: Simpson's rule on the angle form of the density."""
-    t, v = col(t), col(df).cast("double")
-    theta = F.atan(t / F.sqrt(v))
-    scale = F.exp(log_gamma((v + 1.0) / 2) - log_gamma(v / 2)) / math.sqrt(math.pi)
-    grid = F.sequence(F.lit(0), F.lit(_PANELS))
+def _point_975(df: float) -> float:
+    """97.5 % point: closed forms for 1 and 2 degrees, Newton from a lower bound above."""
+    if not df >= 1:
+        return math.nan
+    if df == 1:
+        return math.tan(math.pi * 0.475)
+    if df == 2:
+        return 0.95 * math.sqrt(2 / (1 - 0.95**2))
+    t, norm = 1.959963984540054, math.lgamma((df + 1) / 2) - math.lgamma(df / 2)
+    for _ in range(12):
+        density = math.exp(norm - (df + 1) / 2 * math.log1p(t * t / df)) / math.sqrt(df * math.pi)
+        t += (_tail(t, df) - 0.025) / density
+    return t
+
+
+def _lower(k: float, n: float) -> float:
+    """P(X <= k), X ~ Binomial(n, 1/2), summed down from k over the terms that matter."""
+    if not (n >= 0 and k == k):
+        return math.nan
+    if k < 0:
+        return 0.0
+    steps = int(min(k, 12 * math.ceil(math.sqrt(n)) + 50))
+    i = np.arange(steps, dtype="float64")
+    ratios = (k - i) / (n - k + i + 1.0)
+    top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    return min(1.0, math.exp(top) * (1.0 + np.cumprod(ratios).sum()))
+
+
+def _each(fn, *columns: pd.Series) -> pd.Series:
+    return pd.Series([fn(*v) for v in zip(*[c.astype("float64") for c in columns], strict=True)],
+                     dtype="float64")
 
-    def term(acc, i):
-        edge = (i == 0) | (i == _PANELS)
-        weight = F.when(edge, 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-        return acc + weight * F.pow(F.cos(theta * i / float(_PANELS)), v - 1.0)
 
-    area = F.aggregate(grid, F.lit(0.0), term) * theta / (3.0 * _PANELS)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 - scale * area))
+# Applied to aggregated rows only, a handful per query.
+@F.pandas_udf(DoubleType())
+def _tail_udf(t: pd.Series, df: pd.Series) -> pd.Series:
+    return _each(_tail, t, df)
 
 
-def t_density(t, df) -> Column:
-    t, v = col(t), col(df).cast("double")
-    return F.exp(log_gamma((v + 1.0) / 2) - log_gamma(v / 2)
-                 - (v + 1.0) / 2 * F.log1p(t * t / v)) / F.sqrt(v * math.pi)
+@F.pandas_udf(DoubleType())
+def _point_udf(df: pd.Series) -> pd.Series:
+    return _each(_point_975, df)
+
+
+@F.pandas_udf(DoubleType())
+def _lower_udf(k: pd.Series, n: pd.Series) -> pd.Series:
+    return _each(_lower, k, n)
+
+
+def t_upper(t, df) -> Column:
+    """P(T > t) for Student's t."""
+    return F.nanvl(_tail_udf(col(t).cast("double"), col(df).cast("double")), F.lit(None))
 
 
 def t_quantile_975(df) -> Column:
-    """97.5 % point: closed form for 1 and 2 degrees, Newton from the normal expansion above."""
-    v = F.greatest(col(df).cast("double"), F.lit(1.0))
-    z = 1.959963984540054
-    start = (F.lit(z) + (z**3 + z) / 4 / v + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / (v * v)
-             + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / (v * v * v))
-    newton = F.aggregate(F.sequence(F.lit(1), F.lit(3)), start,
-                         lambda t, _: t + (t_upper(t, v) - 0.025) / t_density(t, v))
-    return F.when(v == 1, math.tan(math.pi * 0.475)).when(
-        v == 2, 0.95 * math.sqrt(2 / (1 - 0.95 * 0.95))).otherwise(newton)
+    return F.nanvl(_point_udf(col(df).cast("double")), F.lit(None))
+
+
+def binomial_lower(k, n) -> Column:
+    """P(X <= k) for X ~ Binomial(n, 1/2)."""
+    return F.nanvl(_lower_udf(col(k).cast("double"), col(n).cast("double")), F.lit(None))
 
 
 def mean_interval(mean, std, n) -> Column:
@@ -88,20 +121,6 @@ def one_sided_t(mean, std, n, alternative: str) -> Column:
     return F.when((n >= 2) & (col(std) > 0), t_upper(t, F.greatest(n - 1, F.lit(1.0))))
 
 
-def binomial_lower(k, n) -> Column:
-    """P(X <= k), X ~ Binomial(n, 1/2), summed down from k while terms matter."""
-    k, n = col(k).cast("double"), col(n).cast("double")
-    top = log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0) - n * math.log(2)
-    steps = F.least(k, F.ceil(F.sqrt(n)) * 12 + 50).cast("int")
-    folded = F.aggregate(
-        F.sequence(F.lit(0), steps),
-        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")),
-        lambda a, i: F.struct(
-            (a["term"] * (k - i) / (n - k + i + 1.0)).alias("term"),
-            (a["total"] + a["term"]).alias("total")))
-    return F.least(F.lit(1.0), F.exp(top) * folded["total"])
-
-
 def sign_test_two_sided(k, n) -> Column:
     """Exact two-sided binomial p at one half; 1 when there is nothing to compare."""
     k, n = col(k).cast("double"), col(n).cast("double")

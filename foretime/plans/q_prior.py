@@ -12,11 +12,13 @@ from foretime.operators.ordered import number_rows, POS
 from foretime.operators.prior import (
     fill_gaps, last_known, next_value, prior_ewm, prior_running, prior_value, prior_window)
 from foretime.operators.schedule import decided
-from foretime.operators.team_log import METRICS
-from foretime.plans.proxies import Tables
+from foretime.operators.team_log import METRICS, team_log
+from foretime.plans.proxies import Tables, planned
 from foretime.plans.registry import query, r6, round6
+from foretime.session import stable
 
 
+@planned
 def games(t: Tables):
     return decided(t.schedule()).withColumn("home_win", (F.col("home_score") > F.col("away_score")).cast("int"))
 
@@ -198,11 +200,16 @@ def first_period_seed_running(t):
     return d.select("game_id", "team", round6("qb_epa_per_db_seed").alias("seed"))
 
 
+@planned
 def team_log_of(t: Tables):
-    from foretime.operators.team_log import team_log
     return team_log(t.plays(), games(t))
 
 
+def rolled_of(t: Tables, **options):
+    """The log is read by five branches of the feature plan, so it is written once."""
+    return features.rolled(stable(team_log_of(t)), **options)
+
+
 @query("team_game_log", "SELECT game_id, team, season, week, is_home, opponent, n_dropbacks, n_def_plays, "
        + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS) + " FROM team_log", ("team_log",))
 def team_game_log(t):
@@ -247,7 +254,7 @@ _ROLLED_FROM = ("FROM w LEFT JOIN own USING (team, season) LEFT JOIN pool USING
                    for m in METRICS) + " " + _ROLLED_FROM, ("team_log",))
 def rolled_features(t):
     """Every rolled feature of the entity log."""
-    d = features.rolled(team_log_of(t))
+    d = rolled_of(t)
     return d.select("game_id", "team", "games_played_sd", *[x for m in METRICS for x in (
         *r6(f"{m}_shrunk", f"{m}_ewm"), F.col(f"{m}_sd_n"))])
 
@@ -258,7 +265,7 @@ def rolled_features(t):
        + " FROM f h JOIN f a ON h.game_id = a.game_id AND h.is_home AND NOT a.is_home", ("team_log",))
 def matchup_differences(t):
     """The two sides of an event in one row and their differences."""
-    d = features.rolled(team_log_of(t))
+    d = rolled_of(t)
     wide = sides.to_event(d, "game_id", "is_home", [f"{m}_shrunk" for m in METRICS])
     return wide.select("game_id", *[round6(F.col(a) - F.col(b)).alias(n)
                                     for n, (a, b) in features.MATCHUPS.items()])

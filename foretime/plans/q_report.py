@@ -9,6 +9,7 @@ from foretime.operators import metrics, scorecard, tables
 from foretime.plans import sql_stats as S
 from foretime.plans.q_prior import games
 from foretime.plans.q_score import _CLOCK, graded, logged, long_eval, rounded
+from foretime.plans.proxies import planned
 from foretime.plans.registry import query, r6, round6
 from foretime.plans.sql_views import view
 
@@ -18,6 +19,7 @@ view("long3", """
   WHERE model = 'champion' AND result IN ('home','away') AND implied_p_home IS NOT NULL""", ("long_eval", "graded"))
 
 
+@planned
 def long3(t):
     """Champion, challenger and market probability per decided event."""
     g = graded(t).where(scorecard.DECIDED).select(
@@ -72,7 +74,7 @@ def market_agreement(t):
 
 
 @query("reliability_bins", """
-WITH b AS (SELECT *, least(CAST(floor(p * 10 + 1e-12) AS INTEGER), 9) AS bin FROM long3),
+WITH b AS (SELECT *, CAST(list_sum(list_transform(range(1, 10), lambda i: (p >= i * 0.1::DOUBLE)::INT)) AS INTEGER) AS bin FROM long3),
  g AS (SELECT m.model, CAST(i.i AS INTEGER) AS bin FROM (SELECT DISTINCT model FROM long3) m, range(10) i(i))
 SELECT g.model, g.bin, count(b.p) AS n, round(avg(p), 6) AS mean_pred, round(avg(y), 6) AS observed
 FROM g LEFT JOIN b ON g.model = b.model AND g.bin = b.bin GROUP BY 1, 2""", ("long3",))
@@ -115,6 +117,7 @@ def means_by_down_and_type(t):
     return d.select("season", "down", "pass", "n", *r6("epa", "success"))
 
 
+@planned
 def edges(t):
     return logged(t).where("model = 'champion' AND implied_p_home IS NOT NULL").select(
         "game_id", F.greatest("edge_home", "edge_away").alias("edge"))

@@ -13,18 +13,21 @@ from foretime.operators import features, grading, metrics, scorecard
 from foretime.operators.schedule import decided, home_rate, still_open
 from foretime.plans import sql_stats as S
 from foretime.plans.q_prior import games
-from foretime.plans.proxies import Tables
+from foretime.plans.proxies import Tables, planned
 from foretime.plans.registry import query, r6, round6
 
 
+@planned
 def logged(t: Tables):
     return grading.log_predictions(t.predictions())
 
 
+@planned
 def graded(t: Tables):
     return grading.grade(logged(t), t.schedule(), t.quotes())
 
 
+@planned
 def long_eval(t: Tables):
     return graded(t).where(scorecard.DECIDED).select(
         "game_id", "season", "model", F.col("p_home").alias("p"), F.col("home_win").cast("int").alias("y"), "vegas_fav")
@@ -237,8 +240,8 @@ WITH x AS (SELECT model AS predictor, correct AS hit, log_loss AS ll, brier AS b
   avg(br) AS br_mean, stddev_samp(br) AS brs FROM x GROUP BY 1),
  q AS (SELECT *, {S.t_steps('(n-1)', 'q')} FROM a)
 SELECT predictor, n, k, {S.wilson('k', 'n')}, round(ll_mean, 6) AS ll_mean, round(br_mean, 6) AS br_mean,
- round(ll_mean - q_t6*lls/sqrt(n::DOUBLE), 6) AS ll_low, round(ll_mean + q_t6*lls/sqrt(n::DOUBLE), 6) AS ll_high,
- round(br_mean - q_t6*brs/sqrt(n::DOUBLE), 6) AS br_low, round(br_mean + q_t6*brs/sqrt(n::DOUBLE), 6) AS br_high FROM q""", ("graded",))
+ round(ll_mean - q_t*lls/sqrt(n::DOUBLE), 6) AS ll_low, round(ll_mean + q_t*lls/sqrt(n::DOUBLE), 6) AS ll_high,
+ round(br_mean - q_t*brs/sqrt(n::DOUBLE), 6) AS br_low, round(br_mean + q_t*brs/sqrt(n::DOUBLE), 6) AS br_high FROM q""", ("graded",))
 def predictor_scorecard(t):
     """Five predictors with accuracy, log loss and Brier intervals."""
     return rounded(scorecard.predictor_rows(graded(t)))

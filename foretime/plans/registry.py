@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     def register(fn):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Tables(spark, sf_dir))
+            return fn(Tables.of(spark, sf_dir))
 
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
