@@ -173,14 +173,15 @@ def _backward_rank(df, by, order, task_rows):
 
 
 def prior_ewm(df: DataFrame, by: Sequence[str], order: Sequence[str],
-              metrics: Mapping[str, str], halflife: float,
-              include_current: bool = False, task_rows: int | None = None) -> DataFrame:
+              metrics: Mapping[str, str], halflife: float, include_current: bool = False,
+              with_weight: bool = False, task_rows: int | None = None) -> DataFrame:
     """Exponentially weighted mean of the earlier rows, weights by row position.
 
     Row ``i`` weighs ``2^(i/halflife)``; a NULL has no weight but still ages the
     rows before it. Weights are re-based every ``512*halflife`` rows so that they
     never overflow, and a block receives the sums of the last two earlier blocks
     holding a value: anything older is below 2^-512 of what is kept.
+    ``with_weight`` adds ``{name}_w``, the summed weight when the row itself weighs one.
     """
     biggest = largest_group(df, by)
     hot = biggest > (CHUNK_ROWS * 4 if task_rows is None else task_rows)
@@ -203,7 +204,9 @@ def prior_ewm(df: DataFrame, by: Sequence[str], order: Sequence[str],
     if single:
         out = rows.select("*", *[
             F.try_divide(F.sum(f"_x{i}").over(w), F.sum(f"_w{i}").over(w)).alias(n)
-            for i, n in enumerate(metrics)])
+            for i, n in enumerate(metrics)], *([
+                (F.sum(f"_w{i}").over(w) / weight).alias(f"{n}_w")
+                for i, n in enumerate(metrics)] if with_weight else []))
         return out.drop(POS, "_blk", *weigh)
 
     def decayed(state, column):
@@ -234,6 +237,9 @@ def prior_ewm(df: DataFrame, by: Sequence[str], order: Sequence[str],
                              w_new + F.coalesce(decayed(c, "w"), F.lit(0.0)))
         # before a block's first value its mean is the carried one, whatever the scale
         out.append(F.when(w_new.isNull(), F.try_divide(c["x"], c["w"])).otherwise(mixed).alias(n))
+        if with_weight:
+            held = F.coalesce(w_new, F.when(c.isNotNull(), F.lit(0.0)))
+            out.append(((held + F.coalesce(decayed(c, "w"), F.lit(0.0))) / weight).alias(f"{n}_w"))
     return carried.select("*", *out).drop(POS, "_blk", *weigh, *paired)
 
 
