@@ -367,6 +367,7 @@ def completeness_before_week(t):
 FEATURES = ["d_qb_epa_per_db", "d_def_epa_per_play", "d_sack_rate", "rest_gap", "elo_gap"]
 
 
+@planned
 def small_frame(t: Tables):
     """A frame of five differences for the model operators, written once."""
     log = stable(team_log_of(t).drop(*[x for x in METRICS if x not in SMALL]))
