@@ -34,11 +34,11 @@ def roc_auc(long: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p",
     """
     keys = list(keys)
     per_score = long.groupBy(*keys, p).agg(
-        F.sum(y).cast("double").alias("_pos"), F.sum(1 - F.col(y)).cast("double").alias("_neg"))
-    run = prior_running(per_score, keys, [p], {"_below": ("_neg", "sum")}, task_rows=task_rows)
+        F.sum(y).cast("double").alias("_ones"), F.sum(1 - F.col(y)).cast("double").alias("_zeros"))
+    run = prior_running(per_score, keys, [p], {"_below": ("_zeros", "sum")}, task_rows=task_rows)
     return run.groupBy(*keys).agg(F.try_divide(
-        F.sum(F.col("_pos") * (F.coalesce("_below", F.lit(0.0)) + F.col("_neg") / 2)),
-        F.sum("_pos") * F.sum("_neg")).alias("auc"))
+        F.sum(F.col("_ones") * (F.coalesce("_below", F.lit(0.0)) + F.col("_zeros") / 2)),
+        F.sum("_ones") * F.sum("_zeros")).alias("auc"))
 
 
 def model_metrics(long: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
