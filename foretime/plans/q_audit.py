@@ -18,7 +18,10 @@ from foretime.plans.q_score import _CLOCK, graded, logged, rounded
 from foretime.plans.registry import query, r6, round6
 from foretime.session import stable
 
-CLOCK = F.lit(_CLOCK).cast("timestamp")
+def clock():
+    return F.lit(_CLOCK).cast("timestamp")
+
+
 SMALL = ("qb_epa_per_db", "def_epa_per_play", "sack_rate")
 
 
@@ -340,7 +343,7 @@ def live_frame_check(t):
 @query("split_at_clock", "SELECT kickoff > timestamp '2001-06-15' AND home_score IS NULL AND away_score IS NULL AS ahead, count(*) AS n FROM schedule GROUP BY 1", ("schedule",))
 def split_at_clock(t):
     """H6."""
-    ahead, rest = live.split_at(t.schedule(), CLOCK)
+    ahead, rest = live.split_at(t.schedule(), clock())
     return ahead.withColumn("ahead", F.lit(True)).unionByName(rest.withColumn("ahead", F.lit(False))).groupBy("ahead").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -349,7 +352,7 @@ SELECT epoch_us((SELECT min(kickoff) FROM schedule WHERE home_score IS NULL AND
  epoch_us((SELECT max(pulled_at) FROM quotes)) AS newest_us""", ("quotes",))
 def snapshot_trigger(t):
     """H10, F4, A10."""
-    d = live.snapshot_due(t.schedule(), t.quotes(), CLOCK)
+    d = live.snapshot_due(t.schedule(), t.quotes(), clock())
     return d.select(F.unix_micros("next_start").alias("next_us"), F.unix_micros("newest").alias("newest_us"))
 
 
@@ -359,7 +362,7 @@ FROM schedule s LEFT JOIN (SELECT DISTINCT game_id FROM plays WHERE qb_dropback
 WHERE s.season = 2001 AND s.week < 10 AND game_type = 'REG' AND (home_score IS NULL OR p.game_id IS NULL)""", ("schedule", "plays"))
 def completeness_before_week(t):
     """Earlier events with a problem (detail = dropback rows)."""
-    return live.completeness(t.schedule(), t.plays().where("qb_dropback = 1"), 2001, 10, CLOCK)
+    return live.completeness(t.schedule(), t.plays().where("qb_dropback = 1"), 2001, 10, clock())
 
 
 # --- models ---------------------------------------------------------------------

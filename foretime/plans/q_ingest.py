@@ -11,7 +11,7 @@ from foretime.operators.schedule import seasons_only
 from foretime.plans.q_score import logged
 from foretime.plans.registry import query, round6
 from foretime.sources.document import export_pages
-from foretime.sources.seasons import METADATA, inventory
+from foretime.sources.seasons import inventory
 from foretime.sources.snapshots import predicted_ids
 from foretime.sources.tables import normalise
 

@@ -8,15 +8,13 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foretime.operators.audit import fingerprint
 
-METADATA = T.StructType.fromDDL(
-    "kind string, season bigint, pulled_at timestamp, rows bigint, sum string, xor bigint")
+METADATA = "kind string, season bigint, pulled_at timestamp, rows bigint, sum string, xor bigint"
 
 
-def stored(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """The table at ``path``, or None where nothing is stored yet."""
     try:
         reader = spark.read if schema is None else spark.read.schema(schema)
