@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretime.session import pin
+from foretime.session import pin, written
 from foretime.sources.tables import read_table
 
 #: Season in which events after LAST_PLAYED_WEEK are still open.
@@ -126,7 +126,8 @@ class Tables:
             supp.alias("pool"),
             F.concat(F.lit("N"), F.col("o_custkey") % 20).alias("pool_home"),
             F.concat(F.lit("N"), part % 20).alias("pool_away"))
-        return g.where("home_team <> away_team")
+        # the logical schedule is a stored table to every query that uses it
+        return written(g.where("home_team <> away_team"))
 
     @planned
     def plays(self) -> DataFrame:

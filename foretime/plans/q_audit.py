@@ -16,7 +16,7 @@ from foretime.plans.q_prior import METRICS, games, ratings_of, rolled_of, team_l
 from foretime.plans.q_report import long3
 from foretime.plans.q_score import _CLOCK, graded, logged, rounded
 from foretime.plans.registry import query, r6, round6
-from foretime.session import stable
+from foretime.session import written
 
 def clock():
     return F.lit(_CLOCK).cast("timestamp")
@@ -305,14 +305,14 @@ SELECT game_id, team, coalesce(played, 0) AS games_played_sd, round(sd, 6) AS qb
 FROM rows LEFT JOIN s USING (team) LEFT JOIN w USING (team)""", ("team_log", "schedule"))
 def open_event_features(t):
     """H1: state as of now, handed to every open event in one pass."""
-    d = live.as_if_next(stable(team_log_of(t).drop(*[x for x in METRICS if x not in SMALL])), open_events(t), SMALL)
+    d = live.as_if_next(written(team_log_of(t).drop(*[x for x in METRICS if x not in SMALL])), open_events(t), SMALL)
     return rounded(d.select("game_id", "team", "games_played_sd", "qb_epa_per_db_sd", "qb_epa_per_db_ewm"))
 
 
 @query("masked_replay_differences", "SELECT 'x' AS \"column\", 0::BIGINT AS mismatches WHERE false")
 def masked_replay_differences(t):
     """H4: hiding a week and everything later, then building that week as open, equals history."""
-    log = stable(team_log_of(t).drop(*[x for x in METRICS if x not in SMALL]))
+    log = written(team_log_of(t).drop(*[x for x in METRICS if x not in SMALL]))
     season, week = 1999, 5
     truth = features.rolled(log, metrics=SMALL)
     masked = live.before_week(log, season, week)
@@ -373,12 +373,12 @@ FEATURES = ["d_qb_epa_per_db", "d_def_epa_per_play", "d_sack_rate", "rest_gap",
 @planned
 def small_frame(t: Tables):
     """A frame of five differences for the model operators, written once."""
-    log = stable(team_log_of(t).drop(*[x for x in METRICS if x not in SMALL]))
+    log = written(team_log_of(t).drop(*[x for x in METRICS if x not in SMALL]))
     wide = sides.to_event(features.rolled(log, metrics=SMALL), "game_id", "is_home", [f"{x}_shrunk" for x in SMALL])
     g, r = ratings_of(t)
     d = wide.join(games(t).select("game_id", "season", "home_win", (F.col("home_rest") - F.col("away_rest")).alias("rest_gap")), "game_id")
     d = d.join(r.select("game_id", (F.col("home_pre") - F.col("away_pre")).alias("elo_gap")), "game_id", "left")
-    return stable(d.select("game_id", "season", "home_win", "rest_gap", "elo_gap",
+    return written(d.select("game_id", "season", "home_win", "rest_gap", "elo_gap",
                            *[(F.col(f"home_{x}_shrunk") - F.col(f"away_{x}_shrunk")).alias(f"d_{x}") for x in SMALL]))
 
 
@@ -401,7 +401,7 @@ def calibration_adoption(t):
     """Calibrator from out-of-fold rows, adopted only if log loss does not rise."""
     f = small_frame(t)
     s = models.season_folds(f, 3)
-    oof = stable(models.walk_forward(f, FEATURES, "home_win", s, models.logistic(1.0)))
+    oof = written(models.walk_forward(f, FEATURES, "home_win", s, models.logistic(1.0)))
     last = oof.where(F.col("season") == s[-1])
     cal = models.calibrator(oof.where(F.col("season") < s[-1]))
     return models.adopt_calibration(last.select("game_id", "y", "p"), models.calibrated(cal, last, ["game_id", "y"]))

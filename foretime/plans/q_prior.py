@@ -15,7 +15,7 @@ from foretime.operators.schedule import decided
 from foretime.operators.team_log import METRICS, team_log
 from foretime.plans.proxies import Tables, planned
 from foretime.plans.registry import query, r6, round6
-from foretime.session import stable
+from foretime.session import written
 
 
 @planned
@@ -207,7 +207,7 @@ def team_log_of(t: Tables):
 
 def rolled_of(t: Tables, **options):
     """The log is read by five branches of the feature plan, so it is written once."""
-    return features.rolled(stable(team_log_of(t)), **options)
+    return features.rolled(written(team_log_of(t)), **options)
 
 
 @query("team_game_log", "SELECT game_id, team, season, week, is_home, opponent, n_dropbacks, n_def_plays, "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,17 +31,36 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Used where later stages must see the very same rows in the very same
-    partitions (row ids drawn from partition offsets, iterative state). The
-    folder comes from ``spark.checkpoint.dir``; a private one is only made when
-    the session has none and runs in local mode.
+    A private one is only made when the session has none and runs in local mode.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="foretime-"))
+    return sc.getCheckpointDir()
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` by a reliable checkpoint and cut its lineage.
+
+    Used where later stages must see the very same rows in the very same
+    partitions (row ids drawn from partition offsets, iterative state).
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Store ``df`` as a parquet table in the shared folder and scan it from there.
+
+    For tables several branches of a plan read: unlike a checkpoint the scan
+    still prunes columns, takes pushed filters and knows its size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
