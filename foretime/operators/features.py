@@ -138,7 +138,7 @@ def home_base(schedule: DataFrame) -> DataFrame:
 
 def context(games: DataFrame, base: DataFrame, venues: DataFrame) -> DataFrame:
     """Twelve facts known before the event. ``venues``: stadium_id, lat, lon, tz."""
-    v = F.broadcast(venues)
+    v = venues
     g = games.join(v.select("stadium_id", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon")),
                    "stadium_id", "left")
     for side in ("home", "away"):

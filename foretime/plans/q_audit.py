@@ -196,10 +196,10 @@ def predicted_without_schedule(t):
 
 
 @query("keys_on_one_side", """
-SELECT game_id, 'left' AS only_in FROM schedule WHERE game_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 3 = 0)""", ("schedule",))
+SELECT game_id, 'left' AS only_in FROM schedule WHERE game_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""", ("schedule",))
 def keys_on_one_side(t):
     """G2, C7."""
-    right = t.plays().join(t.raw("lineitem").where("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("game_id")).distinct(), "game_id", "left_semi")
+    right = t.plays().join(t.raw("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("game_id")).distinct(), "game_id", "left_semi")
     return checks.key_difference(t.schedule().select("game_id").distinct(), right.select("game_id").distinct(), ["game_id"])
 
 

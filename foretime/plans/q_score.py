@@ -72,15 +72,19 @@ def kickoff_utc(t):
         kickoff("gameday", "gametime", F.lit("America/New_York"))).alias("kickoff_s"))
 
 
-@query("utc_offset_at_start", """
-SELECT game_id, (epoch(kickoff) - epoch(timezone('America/New_York', kickoff)))::DOUBLE / 3600 AS ny,
- (epoch(kickoff) - epoch(timezone('Europe/London', kickoff)))::DOUBLE / 3600 AS london FROM schedule
-WHERE dayofyear(kickoff) NOT BETWEEN 80 AND 100 AND dayofyear(kickoff) NOT BETWEEN 290 AND 312""", ("schedule",))
+def _offset_sql(zone: str) -> str:
+    # of two instants with this wall clock the earlier one counts
+    u = f"timezone('{zone}', kickoff)"
+    first = f"CASE WHEN timezone('{zone}', {u} - INTERVAL 1 HOUR) = kickoff THEN {u} - INTERVAL 1 HOUR ELSE {u} END"
+    return f"(epoch(kickoff) - epoch({first}))::DOUBLE / 3600"
+
+
+@query("utc_offset_at_start", f"""
+SELECT game_id, {_offset_sql('America/New_York')} AS ny, {_offset_sql('Europe/London')} AS london FROM schedule""", ("schedule",))
 def utc_offset_at_start(t):
-    """Offset hours with the UTC wall clock read as local time (away from the change-over days)."""
-    s = t.schedule().where("dayofyear(kickoff) NOT BETWEEN 80 AND 100 AND dayofyear(kickoff) NOT BETWEEN 290 AND 312")
-    return s.select("game_id", utc_offset_hours("kickoff", F.lit("America/New_York")).alias("ny"),
-                    utc_offset_hours("kickoff", F.lit("Europe/London")).alias("london"))
+    """Offset hours with the UTC wall clock read as local time."""
+    return t.schedule().select("game_id", utc_offset_hours("kickoff", F.lit("America/New_York")).alias("ny"),
+                               utc_offset_hours("kickoff", F.lit("Europe/London")).alias("london"))
 
 
 @query("local_start_and_slot", """
