@@ -97,18 +97,20 @@ def rolled(log: DataFrame, entity: str = "team", period: str = "season", time: s
     sound = [m for m in metrics if m not in leaky]
     aggs = lambda ms: {x: y for m in ms for x, y in (
         (f"{m}_sd", (m, "mean")), (f"{m}_sd_n", (m, "count")))}
-    out = prior_window(base, [entity, period], order,
-                       {**aggs(sound), "games_played_sd": ("_one", "count")}, rows, task_rows=task_rows)
-    bad = [m for m in metrics if m in leaky]
-    if bad:
-        out = prior_window(out, [entity, period], order, aggs(bad), rows, include_current=True,
-                           task_rows=task_rows)
+    # the exponential means go first: their shuffle by entity also serves the windows by (entity, period)
+    out = base
     ewm_ok = [m for m in metrics if f"{m}_ewm" not in leaky]
     ewm_bad = [m for m in metrics if f"{m}_ewm" in leaky]
     for ms, current in ((ewm_ok, False), (ewm_bad, True)):
         if ms:
             out = prior_ewm(out, [entity], order, {f"{m}_ewm": m for m in ms}, halflife,
                             include_current=current, task_rows=task_rows)
+    out = prior_window(out, [entity, period], order,
+                       {**aggs(sound), "games_played_sd": ("_one", "count")}, rows, task_rows=task_rows)
+    bad = [m for m in metrics if m in leaky]
+    if bad:
+        out = prior_window(out, [entity, period], order, aggs(bad), rows, include_current=True,
+                           task_rows=task_rows)
     own = prior_period(log, entity, period, metrics)
     pooled = pooled_prior(log, period, metrics,
                           seed_order=[time, id, entity] if seed == "last_row" else None)
