@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretime.llm import decontamination, mixing, token_counts, token_store
+from foretime.llm import balltree, decontamination, mixing, token_counts, token_store, warc
 from foretime.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,26 @@ def token_counts_query(table):
 @query("op8_token_store")
 def token_store_query(table):
     return token_store.digests(token_store.read_tokens(*token_store.write_tokens(table("documents"))))
+
+
+@query("op5_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, payload_bytes, max(page_id) AS home FROM p WHERE payload_bytes >= 1000 GROUP BY 1, 2)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN home <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN home <> page_id THEN home END AS refers_to FROM p LEFT JOIN m USING (payload_digest, payload_bytes)""")
+def warc_query(table):
+    folder, index = warc.write_archives(table("pages"))
+    return warc.read_records(folder, index).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op9_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def top_k_query(table):
+    vectors = table("embeddings")
+    return balltree.top_k(vectors, vectors.where("vec_id % 100 = 0"))

@@ -67,7 +67,7 @@ def section_tokens(docs: DataFrame, doc_id: str = "doc_id", fields: tuple[str, .
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        wide = enc.byte_lengths()
+        wide = enc.widths
         for b in batches:
             ids, at = b.column("id"), 0
             joined = (("\n".join(x or "" for x in r) if len(r) > 1 else r[0] or "", r) for r in rows_of([b], *names))

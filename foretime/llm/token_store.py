@@ -44,12 +44,11 @@ def build(tokens: np.ndarray, lengths: np.ndarray) -> bytes:
     planes = max(1, int(tokens.max()).bit_length()) if len(tokens) else 1
     parts, zeros = [], []
     for b in range(planes - 1, -1, -1):
-        bits = (tokens >> b) & 1
-        ones = bits.view(bool) if bits.dtype == np.uint8 else bits.astype(bool)
+        ones = (tokens & tokens.dtype.type(1 << b)) != 0
         parts.append(press(np.packbits(ones).tobytes()))
-        low = tokens[~ones]
+        low = tokens.compress(~ones)
         zeros.append(len(low))
-        tokens = np.concatenate((low, tokens[ones]))
+        tokens = np.concatenate((low, tokens.compress(ones)))
     parts.append(press(lengths.astype("<u4").tobytes()))
     head = json.dumps({"n": int(len(tokens)), "planes": planes, "zeros": zeros, "docs": int(len(lengths)), "sizes": [len(p) for p in parts]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])

@@ -1,19 +1,25 @@
 """Encoding whole texts with a public byte-level tokenizer.
 
-A text is cut before each single space, where this kind of tokenizer always cuts,
-and every distinct piece is encoded by the library once per worker; a text with
-two spaces in a row, where that does not hold, is encoded as a whole.
+A text is cut before each space, where this kind of tokenizer cuts too, and pieces
+not seen before are encoded by the library and remembered by the worker. A cut does
+not hold for a space that stands between other white space, or after it at the
+end; a text with such a space is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from itertools import chain
 
 import numpy as np
 
-#: Pieces that a worker remembers; beyond that it starts afresh.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers; beyond that it keeps those of the texts at hand.
+REMEMBERED = 1_000_000
+#: Characters of new pieces per call of the library.
+CALL_CHARS = 1 << 18
+MARKS = ".,;:!?"
+NO_CUT = re.compile(r"\s (?!\S)")
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -39,51 +45,59 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.path = path
+        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        self.widths = self._byte_lengths()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text is empty."""
         cut = [self._pieces(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.known)
+        here = set(chain.from_iterable(cut))
+        new = here.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set(chain.from_iterable(cut))
+            self.known = {p: self.known[p] for p in here.difference(new)}
         self._learn(new)
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), np.uint16 if self.narrow else np.uint32) for pieces in cut]
-
-    @property
-    def narrow(self) -> bool:
-        return self.library.get_vocab_size() <= 1 << 16
+        return [np.frombuffer(b"".join(map(get, pieces)), self.kind) for pieces in cut]
 
     @staticmethod
     def _pieces(text: str | None) -> list[str]:
         if not text:
             return []
-        if "  " in text:
+        if NO_CUT.search(text):
             return [text]
         first, *rest = text.split(" ")
         return [*([first] if first else []), *[" " + p for p in rest]]
 
     def _learn(self, pieces: set[str]) -> None:
-        """Encode new pieces; letters with one mark behind them are put together from two."""
-        kind = np.uint16 if self.narrow else np.uint32
-        whole, joined = set(), []
-        for p in pieces:
-            if len(p) > 1 and p[-1] in ".,;:!?" and p[:-1].lstrip(" ").isalpha():
-                joined.append(p)
-                whole.add(p[:-1])
-                whole.add(p[-1])
-            else:
-                whole.add(p)
-        todo = [p for p in whole if p not in self.known]
-        for at in range(0, len(todo), 1 << 16):
-            part = todo[at:at + (1 << 16)]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, kind).tobytes()
-        for p in joined:
+        """Encode new pieces. Those of a space and a word are encoded behind each other
+        in one call and told apart by the bytes that their ids stand for."""
+        # letters with one mark behind them are two of the tokenizer's own units
+        marked = [p for p in pieces if p[-1] in MARKS and p[1:-1].isalpha() and p[0] == " "]
+        pieces = pieces.difference(marked).union([p[:-1] for p in marked], [p[-1] for p in marked]).difference(self.known)
+        plain = [p for p in pieces if p[0] == " " and p[1:] and p[1:].split() == [p[1:]]]
+        for p, e in zip(odd := list(pieces.difference(plain)), self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, self.kind).tobytes()
+        at, size = 0, self.kind().itemsize
+        while at < len(plain):
+            part, chars = [], 0
+            while at < len(plain) and (not part or chars < CALL_CHARS):
+                part.append(plain[at])
+                chars += len(plain[at])
+                at += 1
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])
+            upto = np.cumsum(self.widths[ids])
+            cuts = np.searchsorted(upto, ends)
+            if not (upto[cuts] == ends).all():
+                raise ValueError(f"{self.path} doesn't cut before a space")
+            raw, last = ids.tobytes(), 0
+            for p, c in zip(part, ((cuts + 1) * size).tolist(), strict=True):
+                self.known[p] = raw[last:c]
+                last = c
+        for p in marked:
             self.known[p] = self.known[p[:-1]] + self.known[p[-1]]
 
-    def byte_lengths(self) -> np.ndarray:
+    def _byte_lengths(self) -> np.ndarray:
         """Bytes of text that each id stands for. In this kind of vocabulary every
         character of an entry stands for one byte."""
         with open(self.path, encoding="utf-8") as f:
