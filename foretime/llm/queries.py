@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretime.llm import balltree, decontamination, mixing, token_counts, token_store, warc
+from foretime.llm import balltree, decontamination, minhash, mixing, token_counts, token_store, toxicity, warc
 from foretime.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,14 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 def top_k_query(table):
     vectors = table("embeddings")
     return balltree.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op2_minhash")
+def minhash_query(table):
+    return minhash.classes(table("documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+@query("op7_toxicity")
+def toxicity_query(table):
+    docs = table("documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table("labels")))
