@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretime.llm import balltree, decontamination, minhash, mixing, token_counts, token_store, toxicity, warc
+from foretime.llm import balltree, decontamination, minhash, mixing, substrings, token_counts, token_store, toxicity, warc
 from foretime.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,16 @@ def minhash_query(table):
 def toxicity_query(table):
     docs = table("documents")
     return toxicity.scored(docs, toxicity.fit(docs, table("labels")))
+
+
+@query("op6_substrings", f"""
+WITH d AS (SELECT doc_id, coalesce({SPACED_WORDS.format(t="text")}, []) AS w FROM documents),
+g AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+r AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, list_sort(list_distinct(list(p))) AS gone FROM (SELECT doc_id, unnest(range(s, s + 35)) AS p FROM r) GROUP BY 1),
+k AS (SELECT doc_id, w, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w
+  ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1), list_transform(range(1, len(w) + 1), lambda i: list_contains(gone, i))), lambda z: NOT z[3]), lambda z: z[1]) END AS kept
+  FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""")
+def substrings_query(table):
+    return substrings.without_repeats(table("documents")).drop("kept")
