@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretime.llm import balltree, decontamination, minhash, mixing, substrings, token_counts, token_store, toxicity, warc
+from foretime.llm import balltree, decontamination, lm, minhash, mixing, substrings, token_counts, token_store, toxicity, warc
 from foretime.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,8 @@ k AS (SELECT doc_id, w, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS N
 SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""")
 def substrings_query(table):
     return substrings.without_repeats(table("documents")).drop("kept")
+
+
+@query("op10_lm_scores")
+def lm_query(table):
+    return lm.scores(table("documents"))

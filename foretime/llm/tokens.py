@@ -51,14 +51,21 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text is empty."""
         cut = [self._pieces(t) for t in texts]
-        here = set(chain.from_iterable(cut))
-        new = here.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {p: self.known[p] for p in here.difference(new)}
-        self._learn(new)
+        self._need(set(chain.from_iterable(cut)))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, pieces)), self.kind) for pieces in cut]
 
+    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of each piece by itself."""
+        self._need(set(pieces))
+        return [np.frombuffer(self.known[p], self.kind) for p in pieces]
+
+    def _need(self, pieces: set[str]) -> None:
+        new = pieces.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {p: self.known[p] for p in pieces.difference(new)}
+        self._learn(new)
+
     @staticmethod
     def _pieces(text: str | None) -> list[str]:
         if not text:
