@@ -200,7 +200,9 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
                     [b.column("ids")[i].values, pa.array(starts + b.column("first")[i].as_py()), pa.array(shard.lengths),
                      pa.array([raw[4 * s:4 * e] for s, e in zip(starts, ends, strict=True)], pa.binary())], names=["id", "start", "n_tokens", "tokens"])
 
-    return manifest.select("file", "first", "ids").mapInArrow(documents, f"id {kind}, start long, n_tokens long, tokens binary")
+    # shards are few rows in few files: deal them out anew
+    parts = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return manifest.select("file", "first", "ids").repartition(parts, "file").mapInArrow(documents, f"id {kind}, start long, n_tokens long, tokens binary")
 
 
 def digests(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:

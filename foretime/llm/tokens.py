@@ -15,10 +15,11 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that a worker remembers; beyond that it keeps those of the texts at hand.
-REMEMBERED = 1_000_000
-#: Characters of new pieces per call of the library.
-CALL_CHARS = 1 << 18
+REMEMBERED = 500_000
+#: New words per call of the library.
+CALL_WORDS = 1 << 14
 MARKS = ".,;:!?"
+WORD = re.compile(r"\S+")
 NO_CUT = re.compile(r"\s (?!\S)")
 
 _encoders: dict[str, "Encoder"] = {}
@@ -47,6 +48,7 @@ class Encoder:
         self.path = path
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.widths = self._byte_lengths()
+        self.marks = dict(zip(MARKS, (x.tobytes() for x in self._ids(list(MARKS))), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text is empty."""
@@ -55,10 +57,10 @@ class Encoder:
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, pieces)), self.kind) for pieces in cut]
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece by itself."""
-        self._need(set(pieces))
-        return [np.frombuffer(self.known[p], self.kind) for p in pieces]
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word, one without white space, as it stands behind a space."""
+        self._need(set(words))
+        return [np.frombuffer(self.known[w], self.kind) for w in words]
 
     def _need(self, pieces: set[str]) -> None:
         new = pieces.difference(self.known)
@@ -68,41 +70,43 @@ class Encoder:
 
     @staticmethod
     def _pieces(text: str | None) -> list[str]:
+        """What stands behind each space. A text's start is told apart by a space before it."""
         if not text:
             return []
         if NO_CUT.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [*([first] if first else []), *[" " + p for p in rest]]
+            return [" " + text]
+        pieces = text.split(" ")
+        pieces[0] = " " + pieces[0]
+        return pieces
 
     def _learn(self, pieces: set[str]) -> None:
-        """Encode new pieces. Those of a space and a word are encoded behind each other
-        in one call and told apart by the bytes that their ids stand for."""
+        """Encode new pieces. Words are encoded behind each other in one call and told
+        apart by the bytes that their ids stand for."""
         # letters with one mark behind them are two of the tokenizer's own units
-        marked = [p for p in pieces if p[-1] in MARKS and p[1:-1].isalpha() and p[0] == " "]
-        pieces = pieces.difference(marked).union([p[:-1] for p in marked], [p[-1] for p in marked]).difference(self.known)
-        plain = [p for p in pieces if p[0] == " " and p[1:] and p[1:].split() == [p[1:]]]
-        for p, e in zip(odd := list(pieces.difference(plain)), self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, self.kind).tobytes()
-        at, size = 0, self.kind().itemsize
-        while at < len(plain):
-            part, chars = [], 0
-            while at < len(plain) and (not part or chars < CALL_CHARS):
-                part.append(plain[at])
-                chars += len(plain[at])
-                at += 1
-            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])
+        marked = [p for p in pieces if p[-1:] in self.marks and p[:-1].isalpha()]
+        pieces = pieces.difference(marked).union([p[:-1] for p in marked]).difference(self.known)
+        plain = [p for p in pieces if WORD.fullmatch(p)]
+        odd = list(pieces.difference(plain))
+        for p, ids in zip(odd, self._ids([p[1:] if p[:1] == " " else " " + p for p in odd]), strict=True):
+            self.known[p] = ids.tobytes()
+        size = self.kind().itemsize
+        for at in range(0, len(plain), CALL_WORDS):
+            part = plain[at:at + CALL_WORDS]
+            text = " " + " ".join(part)
+            ids, = self._ids([text])
+            raw = text.encode("utf-8", "surrogatepass")
+            ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)[1:], len(raw))
             upto = np.cumsum(self.widths[ids])
             cuts = np.searchsorted(upto, ends)
             if not (upto[cuts] == ends).all():
                 raise ValueError(f"{self.path} doesn't cut before a space")
-            raw, last = ids.tobytes(), 0
-            for p, c in zip(part, ((cuts + 1) * size).tolist(), strict=True):
-                self.known[p] = raw[last:c]
-                last = c
-        for p in marked:
-            self.known[p] = self.known[p[:-1]] + self.known[p[-1]]
+            data, cuts = ids.tobytes(), ((cuts + 1) * size).tolist()
+            self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+        known, marks = self.known, self.marks
+        known.update([(p, known[p[:-1]] + marks[p[-1]]) for p in marked])
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _byte_lengths(self) -> np.ndarray:
         """Bytes of text that each id stands for. In this kind of vocabulary every
