@@ -13,7 +13,7 @@ alone, so equal text gives equal paths wherever it stands. Three joins follow.
 3. Repeated edges go back to all coordinates of their paths, and adjacent ones
    become spans, which are cut from the source.
 
-Paths and edges are compared by anchor, content hash and length, 128 bits and more.
+Paths and edges are compared by anchor and content hash, 128 bits together.
 A passage that a third of all documents hold is one path with a count, however often
 it occurs; no group's rows meet in one task.
 
@@ -113,7 +113,8 @@ def path_table(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFram
 
 
 def open_edges(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(m, w, s, edges, off, times): each edge of the wanted paths, read at their source."""
+    """(m, w, place, s, off, times): each edge of the wanted paths, read at their source;
+    ``place`` tells path and offset."""
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,14 +137,15 @@ def open_edges(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 places = np.repeat(first[keep], n) + off
                 w = t.runs(window)[places]
-                for to, v in zip(out, (np.repeat(m[keep], n).view(np.int64), w.view(np.int64), np.repeat(s[keep], n).view(np.int64), np.repeat(n, n).astype(np.int32), off.astype(np.int32),
+                of = np.repeat(s[keep], n)
+                for to, v in zip(out, (np.repeat(m[keep], n).view(np.int64), w.view(np.int64), mixed_bits(of + off.astype(np.uint64)).view(np.int64), of.view(np.int64), off.astype(np.int32),
                                        np.repeat([found[x] for x in s[keep].view(np.int64).tolist()], n).astype(np.int64)), strict=True):
                     to.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["m", "w", "s", "edges", "off", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["m", "w", "place", "s", "off", "times"])
 
     rows = docs.join(wanted, docs["id"].eqNullSafe(wanted["wid"]) & (docs["tkey"] == wanted["wkey"]))
-    return stored(rows.select("text", "want", "times").mapInArrow(opened, "m long, w long, s long, edges int, off int, times long"), "edges")
+    return stored(rows.select("text", "want", "times").mapInArrow(opened, "m long, w long, place long, s long, off int, times long"), "edges")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35) -> tuple[DataFrame, DataFrame]:
@@ -152,24 +154,23 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table = path_table(docs, doc_id, text, window)
     texts = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("tkey"), F.col(text).alias("text"))
     places = table.select("row", F.explode(F.arrays_zip("m", "s", "first", "edges")).alias("p")).select("row", "p.*")
-    paths = stored(places.groupBy("m", "s", "edges").agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("row")), "distinct-paths")
-    # anchors that occur again, where some path occurs once: a repeat ends there
-    anchors = paths.groupBy("m").agg(F.sum("times").alias("all"), F.min("times").alias("least")).where(
-        (F.col("all") > 1) & (F.col("least") == 1)).select("m")
-    border = paths.join(anchors, "m", "left_semi")
+    paths = places.groupBy("m", "s").agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("row"))
+    anchors = paths.groupBy(F.col("m").alias("n")).agg(F.sum("times").alias("all"), F.min("times").alias("least")).where("all > 1")
+    paths = stored(paths.join(anchors, F.col("m") == F.col("n")).select("m", "s", "times", "row", "least"), "repeated-anchors")
+    # where an anchor occurs again and one of its paths only once, a repeat ends
+    border = paths.where("least = 1")
     wanted = border.groupBy("row").agg(F.collect_list(F.struct("s", "times")).alias("want"))
     wanted = wanted.join(table.select("row", F.col("id").alias("wid"), F.col("tkey").alias("wkey")), "row").select(
         "wid", "wkey", F.col("want.s").alias("want"), F.col("want.times").alias("times"))
     edges = open_edges(texts, wanted, window)
     # an equal row's second reading gives the same place again and isn't a second one
-    again = edges.groupBy("m", "w").agg(
-        *[f(c).alias(f"{n}_{c}") for c in ("s", "edges", "off") for n, f in (("min", F.min), ("max", F.max))], F.max("times").alias("most")).where(
-        "min_s <> max_s or min_edges <> max_edges or min_off <> max_off or most > 1").select("m", "w")
-    single = edges.where("times = 1").join(again, ["m", "w"], "left_semi").groupBy("m", "s", "edges").agg(
+    again = edges.groupBy("m", "w").agg(F.min("place").alias("x"), F.max("place").alias("y"), F.max("times").alias("most")).where(
+        "x <> y or most > 1").select("m", "w")
+    single = edges.where("times = 1").select("m", "w", "s", "off").join(again, ["m", "w"], "left_semi").groupBy("m", "s").agg(
         F.array_sort(F.collect_set("off")).alias("offs"))
-    whole = paths.where("times > 1").select("m", "s", "edges", F.lit(None).cast("array<int>").alias("offs"))
+    whole = paths.where("times > 1").select("m", "s", F.lit(None).cast("array<int>").alias("offs"))
     verdict = stored(whole.unionByName(single), "repeated-paths")
-    spans = places.join(verdict, ["m", "s", "edges"]).groupBy("row").agg(F.collect_list(F.struct("first", "edges", "offs")).alias("spans"))
+    spans = places.join(verdict, ["m", "s"]).groupBy("row").agg(F.collect_list(F.struct("first", "edges", "offs")).alias("spans"))
     return table, stored(spans, "spans")
 
 
