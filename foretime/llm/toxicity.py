@@ -55,6 +55,10 @@ class Ordinal:
         """P(severity > k), one column per threshold."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -50, 50)))
 
+    def severity(self, score: np.ndarray, cut: float) -> np.ndarray:
+        """Thresholds passed with more than ``cut``; none where no feature speaks for any."""
+        return ((self.above(score) > cut) & (score > 0)[:, None]).sum(axis=1)
+
     @classmethod
     def fit(cls, rows: list[np.ndarray], grades: np.ndarray, row_weights: np.ndarray, n_grades: int, l1: float = 5e-4, epochs: int = 24,
             rate: float = 0.3, batch: int = 128, seed: int = 1) -> "Ordinal":
@@ -164,9 +168,10 @@ def scored(docs: DataFrame, model: Ordinal, doc_id: str = "doc_id", text: str =
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            p = model.above(np.array([scorer.score(t) for t, in rows_of([b], "text")], np.float64))
+            score = np.array([scorer.score(t) for t, in rows_of([b], "text")], np.float64)
+            p, severity = model.above(score), model.severity(score, cut)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array((p > cut).sum(axis=1)), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 0] > cut)],
+                [b.column("id"), pa.array(severity), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(severity > 0)],
                 names=["id", "severity", "expected_severity", "p_toxic", "toxic"])
 
     return rows.mapInArrow(grade, f"id {kind}, severity long, expected_severity double, p_toxic double, toxic boolean").withColumnRenamed("id", doc_id)
@@ -180,7 +185,7 @@ def rejected(docs: DataFrame, model: Ordinal, text: str = "text", cut: float = C
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            p = model.above(np.array([scorer.score(t) for t in b.column(at).to_pylist()], np.float64))
-            yield b.filter(pa.array(p[:, 0] <= cut))
+            score = np.array([scorer.score(t) for t in b.column(at).to_pylist()], np.float64)
+            yield b.filter(pa.array(model.severity(score, cut) == 0))
 
     return docs.mapInArrow(keep, docs.schema)
