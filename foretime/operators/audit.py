@@ -177,14 +177,15 @@ def reconcile(mine: DataFrame, recorded: DataFrame, digits: int = 4) -> DataFram
 
 def parts_add_up(report: DataFrame, label: str, whole: str, values: Sequence[str],
                  tolerance: float = 1e-9) -> DataFrame:
-    """Values whose parts do not sum to the row called ``whole``."""
+    """Values whose parts do not sum to the row called ``whole``; one of the two missing counts."""
     row = report.agg(*[x for i, v in enumerate(values) for x in (
         F.sum(F.when(F.col(label) == whole, F.col(v))).alias(f"w{i}"),
         F.sum(F.when(F.col(label) != whole, F.col(v))).alias(f"p{i}"))])
     cells = [F.struct(F.lit(v).alias("metric"), F.col(f"w{i}").cast("double").alias("whole"),
                       F.col(f"p{i}").cast("double").alias("parts")) for i, v in enumerate(values)]
+    both_missing = F.col("whole").isNull() & F.col("parts").isNull()
     return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where(
-        F.abs(F.col("whole") - F.col("parts")) > tolerance)
+        ~F.coalesce(F.abs(F.col("whole") - F.col("parts")) <= tolerance, both_missing))
 
 
 def rule_violations(df: DataFrame, rules: Mapping[str, Column], keys: Sequence[str]) -> DataFrame:
@@ -207,9 +208,11 @@ def gate(checks: DataFrame) -> DataFrame:
 
 
 def control_gate(results: DataFrame, clean: str = "clean") -> DataFrame:
-    """Negative control: the clean build passes and every leaky one fails."""
-    ok = F.when(F.col("variant") == clean, F.col("passed")).otherwise(~F.col("passed"))
-    return results.agg(F.bool_and(ok).alias("sound"), F.count(F.lit(1)).alias("variants"),
+    """Negative control: one clean build that passes, at least one leaky one, and every leaky one fails."""
+    own = F.col("variant") == clean
+    ok = F.coalesce(F.when(own, F.col("passed")).otherwise(~F.col("passed")), F.lit(False))
+    complete = (F.count_if(own) == 1) & (F.count(F.lit(1)) > 1)
+    return results.agg((F.coalesce(F.bool_and(ok), F.lit(False)) & complete).alias("sound"), F.count(F.lit(1)).alias("variants"),
                        F.count_if(F.col("variant") == clean).alias("clean_variants"))
 
 

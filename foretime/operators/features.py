@@ -150,7 +150,7 @@ def context(games: DataFrame, base: DataFrame, venues: DataFrame) -> DataFrame:
         g = g.join(at, [f"{side}_team", "season"], "left")
     km = lambda s: great_circle_km(f"{s}_lat", f"{s}_lon", "g_lat", "g_lon")
     g = g.withColumns({
-        "is_neutral": (F.col("location") == "Neutral").cast("int"),
+        "is_neutral": F.coalesce((F.col("location") == "Neutral").cast("int"), F.lit(0)),
         "home_rest": clip("home_rest", 3.0, 20.0), "away_rest": clip("away_rest", 3.0, 20.0),
         "div_game": F.col("div_game").cast("double"),
         "roof_indoor": indicator("roof", fixed.ROOF_CLOSED, fixed.ROOF_OPEN),
