@@ -11,9 +11,9 @@ about k (ln k + 4) of them however long it is, and on when a coordinate stays em
 Equal texts are one class before anything is compared. Bands of signature values
 deal classes into buckets; in a bucket the member that shares the most buckets is
 compared with the others, by exact weighted Jaccard, and what is linked need not be
-compared again. Buckets that still hold several components go on with further
-members until every pair in them is linked, in one component, or compared. No task
-gathers a bucket, and no bucket's pairs are all emitted.
+compared again. Buckets that still hold several components go on, with more members
+each round, until every pair in them is linked, in one component, compared, or too
+unequal in weight to be similar. No task gathers a bucket.
 
 Cases: texts without words (null, empty, marks alone) are similar to nothing; a text
 of one to four words is one shingle; equal rows fall into one class; a tie between
@@ -36,7 +36,7 @@ from foretime.llm.graph import components
 #: Words per shingle, bands, values per band: a pair at 0.8 meets in a band with 0.99994.
 SHINGLE, BANDS, ROWS = 5, 32, 6
 GROUP_BYTES = 2 << 20
-#: Members of a bucket that each further round compares with the rest.
+#: How many times more members of a bucket each further round compares with the rest.
 HUBS = 16
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -125,7 +125,7 @@ def _opened(v: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
-    """(id, tkey, content, bands) per row; content and bands are null without words."""
+    """(id, tkey, content, size, bands) per row; content and bands are null without words."""
     docs = with_text(docs, text).select(F.col(doc_id).alias("id"), text_key(text).alias("tkey"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -142,10 +142,10 @@ def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -
                 keys = band_keys(ranks, bands, rows)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id").slice(at, len(group)), b.column("tkey").slice(at, len(group)), pa.array(content, pa.binary()),
-                     pa.array([k if len(s) else None for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64()))], names=["id", "tkey", "content", "bands"])
+                     pa.array([len(s) for s in sets], pa.int64()), pa.array([k if len(s) else None for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64()))], names=["id", "tkey", "content", "size", "bands"])
                 at += len(group)
 
-    return stored(docs.mapInArrow(sign, f"id {kind}, tkey long, content binary, bands array<long>"), "signatures")
+    return stored(docs.mapInArrow(sign, f"id {kind}, tkey long, content binary, size long, bands array<long>"), "signatures")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     signed = signatures(docs, doc_id, text, bands, rows)
     texts = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("tkey"), F.col(text).alias("text"))
     nodes = signed.where("content is not null").groupBy("content").agg(
-        F.min(F.struct("id", "tkey")).alias("head"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n_copies"))
+        F.min(F.struct("id", "tkey")).alias("head"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n_copies"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = linked(nodes, texts, least)
     labels = components(links)
@@ -207,38 +207,33 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
 
 def linked(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Verified links (a, b) that join all nodes which share a bucket and are similar."""
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = rows.join(sizes, "bucket")
-    shared = stored(members, "buckets")
-    score = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    shared = stored(shared.join(score, "node").select("bucket", "node", "score"), "buckets")
+    rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(rows.join(counts, "bucket"), "buckets")
+    score = members.groupBy("node").agg(F.sum("n").alias("score"))
+    state = stored(members.join(score, "node").select("bucket", "node", "size", "score", F.col("node").alias("label")), "buckets")
     links, done, labels, hubs = None, None, None, 1
     while True:
-        if labels is None:
-            state = shared.withColumn("label", F.col("node"))
-        else:
-            state = shared.join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").withColumn("label", F.coalesce("label", "node")).drop("l")
-            several = state.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-            state = stored(state.join(several, "bucket", "left_semi"), "buckets")
         # the members with the highest scores, one for each of `hubs` shares of a bucket
         heads = stored(state.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("share")).agg(
-            F.max(F.struct("score", "node", "label")).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label")), "hubs")
-        pairs = state.join(heads, "bucket").where("label <> hub_label").select(
+            F.max(F.struct("score", "node", "size", "label")).alias("h")).select(
+            "bucket", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.label").alias("hub_label")), "hubs")
+        # no similarity exceeds the smaller weight's share of the larger
+        alike = F.least("size", "hub_size") >= F.lit(least) * F.greatest("size", "hub_size")
+        pairs = state.join(heads, "bucket").where(alike & F.expr("label <> hub_label")).select(
             F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if labels is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         found = verified(pairs, nodes, texts, least)
-        links = found if links is None else stored(links.unionByName(found), "links")
-        done = pairs if labels is None else stored(done.unionByName(pairs), "pairs")
-        labels = components(links)
-        shared = stored(state.join(heads.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "score"), "buckets")
-        left = shared.join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").groupBy("bucket").agg(
-            F.min(F.coalesce("label", "node")).alias("x"), F.max(F.coalesce("label", "node")).alias("y")).where("x <> y").limit(1)
-        if not left.count():
+        links, done = (found, pairs) if done is None else (links.unionByName(found), done.unionByName(pairs))
+        if labels is None or not found.isEmpty():
+            labels = components(links)
+        rest = state.drop("label").join(heads.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").join(
+            labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+        state = stored(rest.join(several, "bucket", "left_semi"), "buckets")
+        if state.isEmpty():
             return links
-        hubs = HUBS
+        hubs *= HUBS
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
