@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that a worker remembers; beyond that it keeps those of the texts at hand.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: New words per call of the library.
 CALL_WORDS = 1 << 14
 MARKS = ".,;:!?"
