@@ -30,6 +30,10 @@ def spaced_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+#: Rows per Arrow batch of texts.
+TEXT_ROWS = 1000
+
+
 class Interned(dict):
     """Word -> dense number in order of first sight."""
 
@@ -44,7 +48,9 @@ def text_key(text: str) -> Column:
 
 
 def with_text(df: DataFrame, text: str) -> DataFrame:
-    """``text`` as a string column whatever type an empty table gave it."""
+    """``text`` as a string column whatever type an empty table gave it. Texts are long, so
+    Arrow batches hold few rows: they bound what a task keeps on both sides of the pipe."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
     return df if isinstance(df.schema[text].dataType, StringType) else df.withColumn(text, F.col(text).cast("string"))
 
 
