@@ -23,30 +23,17 @@ def asof_strict(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     on ``by`` and no pairing of rows.
     """
     values = list(values) or [c for c in right.columns if c not in (*by, right_on)]
+    left_tie, right_tie = [f"_lt{i}" for i in range(len(left_id))], [f"_rt{i}" for i in range(len(right_id))]
     lkey = left.schema[left_on].dataType
     packed_left = left.select(
         *by, F.col(left_on).alias("_key"), F.lit(0).alias("_side"),
-        _order_key(left, left_id).alias("_tie"), F.struct(*left.columns).alias("_l"))
+        *[F.col(c).alias(n) for c, n in zip(left_id, left_tie)], F.struct(*left.columns).alias("_l"))
     packed_right = right.where(F.col(right_on).isNotNull()).select(
         *by, F.col(right_on).cast(lkey).alias("_key"), F.lit(1).alias("_side"),
-        _order_key(right, right_id).alias("_tie"),
+        *[F.col(c).alias(n) for c, n in zip(right_id, right_tie)],
         F.struct(F.col(right_on).alias("_matched"), *values).alias("_r"))
     both = packed_left.unionByName(packed_right, allowMissingColumns=True)
-    matched = last_known(both, by, ["_key", "_side", "_tie"], {"_hit": "_r"}, task_rows=task_rows)
+    matched = last_known(both, by, ["_key", "_side", *left_tie, *right_tie], {"_hit": "_r"}, task_rows=task_rows)
     # a left row without a key sorts first and can match nothing
     return matched.where(F.col("_side") == 0).select(
         "_l.*", *[F.col(f"_hit.{v}").alias(f"{prefix}{v}") for v in values])
-
-
-def _order_key(df: DataFrame, ids: Sequence[str]):
-    """One sortable string per id tuple; numbers are padded so text order is number order."""
-    if not ids:
-        return F.lit("")
-    parts = []
-    for c in ids:
-        if df.schema[c].dataType.typeName() in ("long", "integer", "short", "byte"):
-            # shift to unsigned so negative ids sort first
-            parts.append(F.lpad((F.col(c).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0"))
-        else:
-            parts.append(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    return F.concat_ws("\u0001", *parts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foretime.functions import fixed
 from foretime.functions.clock import utc_offset_hours
 from foretime.functions.geo import great_circle_km
-from foretime.functions.scalar import clip, indicator, shrink
+from foretime.functions.scalar import clip, indicator, recode, shrink
 from foretime.operators.prior import fill_gaps, prior_ewm, prior_running, prior_window
 from foretime.operators.sides import to_event
 from foretime.operators.team_log import METRICS
@@ -129,7 +129,7 @@ def rolled(log: DataFrame, entity: str = "team", period: str = "season", time: s
 def home_base(schedule: DataFrame) -> DataFrame:
     """Most used home venue per (team, season), smallest id on ties, gaps filled per team."""
     used = schedule.where("game_type = 'REG' AND location = 'Home'").groupBy(
-        F.col("home_team").alias("team"), "season", "stadium_id").agg(F.count(F.lit(1)).alias("n"))
+        recode("home_team", fixed.TEAM_CODES).alias("team"), "season", "stadium_id").agg(F.count(F.lit(1)).alias("n"))
     best = used.where("stadium_id IS NOT NULL").groupBy("team", "season").agg(
         F.min(F.struct(-F.col("n"), F.col("stadium_id"))).alias("b"))
     seasons = used.select("team", "season").distinct()

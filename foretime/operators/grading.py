@@ -13,7 +13,7 @@ def log_predictions(scored: DataFrame) -> DataFrame:
     """Add pick, implied probability, edges and the bet to rows holding ``p_home`` and prices."""
     bet = m.place_bet("p_home", "home_moneyline", "away_moneyline")
     out = scored.withColumns({"pick": m.pick("p_home"), "_bet": bet}).select("*", "_bet.*").drop("_bet")
-    return out.withColumn("bet_status", F.when(F.col("paper_bet") == "none", "none")
+    return out.withColumn("bet_status", F.when(F.col("paper_bet") == "none", "")
                           .otherwise(F.col("bet_status")))
 
 

@@ -18,14 +18,18 @@ def to_sides(events: DataFrame, keep: Sequence[str], home: Mapping[str, str],
 
 def to_event(rows: DataFrame, key: str, flag: str, values: Sequence[str],
              home: str = "home_", away: str = "away_") -> DataFrame:
-    """Back to one wide row per event; events missing a side are left out.
+    """Back to one wide row per event; events missing a side are left out, two rows
+    for one side are an error.
 
     One aggregate on the key instead of joining the table with itself.
     """
     pack = F.struct(*values)
     wide = rows.groupBy(key).agg(F.max(F.when(F.col(flag), pack)).alias("h"),
-                                 F.max(F.when(~F.col(flag), pack)).alias("a"))
-    return wide.where(F.col("h").isNotNull() & F.col("a").isNotNull()).select(
+                                 F.max(F.when(~F.col(flag), pack)).alias("a"),
+                                 F.greatest(F.count_if(flag), F.count_if(~F.col(flag))).alias("n"))
+    twice = F.raise_error(F.concat(F.lit("two rows for one side of "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    whole = F.when(F.col("n") > 1, twice.cast("boolean")).otherwise(F.col("h").isNotNull() & F.col("a").isNotNull())
+    return wide.where(whole).select(
         key, *[F.col(f"h.{v}").alias(home + v) for v in values],
         *[F.col(f"a.{v}").alias(away + v) for v in values])
 

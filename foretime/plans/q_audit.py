@@ -45,11 +45,16 @@ def window_oracle_mismatches(t):
     return audit.mismatches(f, audit.window_oracle(e, by, order, ["metric"], 22), ["event_id"], {"sd": "metric_oracle"})
 
 
-@query("ewm_induction_failures", "SELECT event_id FROM ev WHERE false", ("ev",))
+@query("ewm_induction_failures", """
+WITH c AS (SELECT *, event_id % 101 = 0 AND count(metric) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS bad FROM ev),
+ p AS (SELECT event_id, bad, coalesce(lag(bad) OVER w, false) AS before, lag(metric) OVER w AS x FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id FROM p WHERE bad <> before OR (bad AND x IS NOT NULL)""", ("ev",))
 def ewm_induction_failures(t):
-    """Every exponential mean must follow from the previous row's."""
+    """Every exponential mean must follow from the previous row's. Means of some events are
+    shifted: they and their successors must be reported, and nothing else."""
     e, by, order = t.events(), ["user_id"], ["ts", "event_id"]
     f = prior_ewm(e, by, order, {"m": "metric"}, 5.0, with_weight=True)
+    f = f.withColumn("m", F.when(F.col("event_id") % 101 == 0, F.col("m") + 1).otherwise(F.col("m")))
     return audit.ewm_induction(f, by, order, "metric", "m", "m_w", 5.0).select("event_id")
 
 
@@ -110,18 +115,20 @@ def context_columns_populated(t):
 
 
 @query("perturbation_by_week", """
-SELECT epoch_us(week_start) AS week_us, 0.0::DOUBLE AS same_week_change, week_start > timestamp '2024-01-08' AS later
-FROM ev WHERE week_start <= timestamp '2024-01-08' GROUP BY 1, 3""", ("ev",))
+WITH u AS (SELECT user_id, week_start, lag(week_start) OVER (PARTITION BY user_id ORDER BY week_start) AS prev FROM (SELECT DISTINCT user_id, week_start FROM ev)),
+ m AS (SELECT user_id FROM ev WHERE week_start = timestamp '2024-01-08' GROUP BY 1 HAVING count(metric) > 0)
+SELECT epoch_us(week_start) AS week_us, round(max(CASE WHEN prev = timestamp '2024-01-08' AND user_id IN (FROM m) THEN 100.0 ELSE 0.0 END)::DOUBLE, 6) AS change,
+ week_start > timestamp '2024-01-08' AS later FROM u GROUP BY 1, 3""", ("ev",))
 def perturbation_by_week(t):
-    """Shifting one week's inputs moves no prior-period feature up to that week."""
+    """Shifting one week's inputs moves no prior-period feature up to that week, and those of
+    entities whose previous week it is."""
     e = t.events().withColumn("week_start", F.col("week_start").cast("timestamp"))
     hit = F.col("week_start") == F.lit("2024-01-08").cast("timestamp")
     f = features.prior_period(e, "user_id", "week_start", ["metric"])
     g = features.prior_period(e.withColumn("metric", F.when(hit, F.col("metric") + 100).otherwise(F.col("metric"))),
                               "user_id", "week_start", ["metric"])
     d = audit.largest_change(f, g, ["user_id"], "week_start", ["metric_prior"])
-    d = d.where(F.col("week_start") <= F.lit("2024-01-08").cast("timestamp"))
-    return d.select(F.unix_micros("week_start").alias("week_us"), F.coalesce("max_change", F.lit(0.0)).alias("same_week_change"),
+    return d.select(F.unix_micros("week_start").alias("week_us"), round6(F.coalesce("max_change", F.lit(0.0))).alias("change"),
                     (F.col("week_start") > F.lit("2024-01-08").cast("timestamp")).alias("later"))
 
 
@@ -142,20 +149,29 @@ def table_fingerprint(t):
     return audit.fingerprint(t.schedule())
 
 
-@query("reconciled_reports", "SELECT 'x' AS block, 'x' AS metric, 0.0::DOUBLE AS value, 0.0::DOUBLE AS recorded WHERE false")
+@query("reconciled_reports", """
+SELECT model || '/' || season AS block, 'k' AS metric, round(sum(correct), 6) AS value, sum(correct) + 1 AS recorded FROM graded
+WHERE season % 2 = 0 AND correct IS NOT NULL GROUP BY 1""", ("graded",))
 def reconciled_reports(t):
-    """Weekly hit counts recomputed from the prediction log equal the scorecard's."""
+    """Hit counts recomputed from the prediction log equal the scorecard's, but for even
+    seasons, where one was added to what is recorded."""
     g = graded(t)
     mine = audit.long_metrics(scorecard.weekly_rows(g, ["model", "season"]).withColumn("k", F.col("correct") * F.col("n")), ["model", "season"], ["n", "k"])
     again = logged(t).join(games(t).select("game_id", "home_win"), "game_id").groupBy("model", "season").agg(
         F.count(F.lit(1)).alias("n"), F.count_if((F.col("p_home") > 0.5) == (F.col("home_win") == 1)).alias("k"))
-    return audit.reconcile(mine, audit.long_metrics(again, ["model", "season"], ["n", "k"]))
+    again = again.withColumn("k", F.when(F.col("season") % 2 == 0, F.col("k") + 1).otherwise(F.col("k")))
+    d = audit.reconcile(mine, audit.long_metrics(again, ["model", "season"], ["n", "k"]))
+    return d.withColumn("value", round6("value"))
 
 
-@query("parts_that_do_not_add_up", "SELECT 'x' AS metric, 0.0::DOUBLE AS whole, 0.0::DOUBLE AS parts WHERE false")
+@query("parts_that_do_not_add_up", """
+SELECT 'wins' AS metric, (count(*) + 1)::DOUBLE AS whole, count(*)::DOUBLE AS parts FROM graded
+WHERE paper_bet IN ('home', 'away') AND bet_status = 'official' AND bet_outcome = 'win'""", ("graded",))
 def parts_that_do_not_add_up(t):
-    """Tiers sum to all calls."""
-    return audit.parts_add_up(scorecard.wins_over_expected(graded(t)), "tier", "all",
+    """Tiers sum to all calls; one win too many in the total must be the only finding."""
+    report = scorecard.wins_over_expected(graded(t)).withColumn(
+        "wins", F.col("wins") + (F.col("tier") == "all").cast("long"))
+    return audit.parts_add_up(report, "tier", "all",
                               ["calls", "wins", "losses", "pushes", "n", "vegas_expected", "woe"])
 
 
@@ -186,11 +202,15 @@ def row_rule_violations(t):
         "two teams": F.col("home_team") != F.col("away_team"), "week in range": F.col("week").between(1, 19)}, ["game_id"])
 
 
-@query("predicted_without_schedule", "SELECT game_id, 'x' AS why FROM schedule WHERE false", ("schedule",))
+@query("predicted_without_schedule", """
+SELECT game_id, CASE WHEN game_id % 101 = 0 THEN 'only right' ELSE 'differs' END AS why FROM schedule
+WHERE game_type = 'REG' AND (game_id % 101 = 0 OR game_id % 103 = 0)""", ("schedule",))
 def predicted_without_schedule(t):
-    """Logged events missing from the schedule or differing in week or teams."""
+    """Logged events missing from the schedule or differing in week or teams; some are
+    taken out of the log and some moved by a week, and exactly those must be reported."""
     cols = ["season", "week", "home_team", "away_team"]
-    p = logged(t).where("model = 'champion'").select("game_id", *cols)
+    p = logged(t).where("model = 'champion' AND game_id % 101 <> 0").select("game_id", *cols)
+    p = p.withColumn("week", F.when(F.col("game_id") % 103 == 0, F.col("week") + 1).otherwise(F.col("week")))
     d = checks.matched_or_refuse(p, t.schedule().where("game_type = 'REG'"), ["game_id"], cols)
     return d.select("game_id", "why")
 
@@ -219,10 +239,10 @@ def exception_counts_drift(t):
     return audit.exceptions_drift(found, documented, ["roof"], ["n"]).select("roof", "why")
 
 
-@query("seeded_sample", None)
+@query("seeded_sample", "SELECT game_id, team FROM team_log ORDER BY md5(game_id || '|' || team || '|7'), game_id, team LIMIT 200", ("team_log",))
 def seeded_sample(t):
     """a reproducible sample of rows to check, drawn by hashing the key."""
-    return team_log_of(t).select("game_id", "team").orderBy(F.xxhash64("game_id", "team", F.lit(7)), "game_id", "team").limit(200)
+    return team_log_of(t).select("game_id", "team").orderBy(F.md5(F.concat_ws("|", "game_id", "team", F.lit("7"))), "game_id", "team").limit(200)
 
 
 @query("top_edges", "SELECT game_id, round(greatest(edge_home, edge_away), 6) AS edge FROM logged WHERE model = 'champion' AND edge_home IS NOT NULL ORDER BY greatest(edge_home, edge_away) DESC, game_id LIMIT 15", ("logged",))
@@ -348,12 +368,14 @@ def split_at_clock(t):
 
 
 @query("snapshot_trigger", """
-SELECT epoch_us((SELECT min(kickoff) FROM schedule WHERE home_score IS NULL AND kickoff > timestamp '2001-06-15' AND kickoff <= timestamp '2001-06-15 04:00')) AS next_us,
- epoch_us((SELECT max(pulled_at) FROM quotes)) AS newest_us""", ("quotes",))
+WITH d AS (SELECT epoch_us((SELECT min(kickoff) FROM schedule WHERE home_score IS NULL AND kickoff > timestamp '2001-06-15' AND kickoff <= timestamp '2001-06-15 04:00')) AS next_us,
+ epoch_us((SELECT max(pulled_at) FROM quotes)) AS newest_us),
+ r AS (SELECT *, CASE WHEN next_us IS NULL THEN 'no event starts soon' WHEN epoch_us(timestamp '2001-06-15') - newest_us < 5400000000 THEN 'a recent snapshot exists' ELSE 'due' END AS reason FROM d)
+SELECT *, reason = 'due' AS fire FROM r""", ("quotes",))
 def snapshot_trigger(t):
     """H10, F4, A10."""
     d = live.snapshot_due(t.schedule(), t.quotes(), clock())
-    return d.select(F.unix_micros("next_start").alias("next_us"), F.unix_micros("newest").alias("newest_us"))
+    return d.select(F.unix_micros("next_start").alias("next_us"), F.unix_micros("newest").alias("newest_us"), "fire", "reason")
 
 
 @query("completeness_before_week", """

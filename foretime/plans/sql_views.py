@@ -139,7 +139,7 @@ from foretime.plans import sql_stats as S  # noqa: E402
 
 view("logged", f"""
   SELECT *, CASE WHEN p_home > 0.5 THEN 'home' ELSE 'away' END AS pick,
-    CASE WHEN side = 'none' THEN 'none' ELSE tag END AS bet_status, side AS paper_bet,
+    CASE WHEN side = 'none' THEN '' ELSE tag END AS bet_status, side AS paper_bet,
     CASE WHEN implied_p_home IS NULL THEN 'missing_line' WHEN side = 'none' THEN 'edge_below_threshold' ELSE '' END AS no_bet_reason,
     CASE side WHEN 'home' THEN home_moneyline WHEN 'away' THEN away_moneyline END AS bet_price,
     CASE WHEN side = 'none' THEN 0.0 ELSE 1.0 END::DOUBLE AS stake

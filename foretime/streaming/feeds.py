@@ -33,17 +33,17 @@ def append_snapshots(stream: DataFrame, target: str, checkpoint: str, delay: str
             .trigger(availableNow=True).start())
 
 
-_STATE = "mean_sum double, weight double, seen bigint, last_us bigint"
+_STATE = "mean_sum double, weight double, seen bigint, last_us bigint, last_id {id}"
 
 
 def prior_state_stream(events: DataFrame, entity: str, time: str, id: str, metric: str,
                        halflife: float) -> DataFrame:
     """Per event the entity's exponential mean and row count before it, kept between arrivals.
 
-    A row at or before the entity's newest time is late: it comes out flagged,
-    without a value, and leaves the state alone (the batch build corrects it).
-    State per entity is four numbers; a micro-batch is bounded by the source's
-    trigger limit.
+    Rows are ordered by (time, id). A row at or before the entity's newest one in
+    that order is late: it comes out flagged, without a value, and leaves the state
+    alone (the batch build corrects it). State per entity is four numbers and an id;
+    a micro-batch is bounded by the source's trigger limit.
     """
     types = {f.name: f.dataType for f in events.schema}
     entity_type, id_type = types[entity].simpleString(), types[id].simpleString()
@@ -52,20 +52,20 @@ def prior_state_stream(events: DataFrame, entity: str, time: str, id: str, metri
     rows = events.select(entity, id, F.unix_micros(time).alias("_us"), F.col(metric).cast("double").alias("_x"))
 
     def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, weight, seen, last = state.get if state.exists else (0.0, 0.0, 0, -(2**63))
+        total, weight, seen, *last = state.get if state.exists else (0.0, 0.0, 0, None, None)
         arrived = pd.concat(list(chunks)).sort_values(["_us", id])
         out_rows = []
         for i, us, x in arrived[[id, "_us", "_x"]].itertuples(index=False):
-            if us <= last:
+            if last[0] is not None and (us, i) <= tuple(last):
                 out_rows.append((key[0], i, None, None, True))
                 continue
             out_rows.append((key[0], i, total / weight if weight > 0 else None, seen, False))
             known = x == x
             total, weight = (total + (x if known else 0.0)) * decay, (weight + (1.0 if known else 0.0)) * decay
-            seen, last = seen + 1, int(us)
-        state.update((total, weight, seen, last))
+            seen, last = seen + 1, [int(us), i]
+        state.update((total, weight, seen, *last))
         yield pd.DataFrame(out_rows, columns=[entity, id, "prior_mean", "prior_rows", "late"]).astype(
             {"prior_mean": "float64", "prior_rows": "Int64", "late": "bool"})
 
     return rows.groupBy(entity).applyInPandasWithState(
-        advance, out, _STATE, "append", GroupStateTimeout.NoTimeout)
+        advance, out, _STATE.format(id=id_type), "append", GroupStateTimeout.NoTimeout)

@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 NAMES = ("prior_window_mean_count", "prior_ewm_by_entity", "asof_last_view_before_purchase", "shrunk_prior_mean_user_week",
          "team_game_log", "rating_chain_audit", "graded_log", "betting_scorecard", "exact_mcnemar_pairs", "model_metrics",
-         "price_distribution", "kickoff_utc", "export_pages", "negative_control")
+         "price_distribution", "kickoff_utc", "export_pages", "negative_control", "ewm_induction_failures", "perturbation_by_week",
+         "reconciled_reports", "parts_that_do_not_add_up", "predicted_without_schedule", "seeded_sample", "snapshot_trigger")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 

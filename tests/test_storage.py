@@ -127,3 +127,20 @@ def test_state_stream_equals_batch(spark, tmp_path):
         assert (got[r.id].prior_mean is None) == (r.m is None)
         if r.m is not None:
             assert got[r.id].prior_mean == pytest.approx(r.m, rel=1e-9)
+
+
+def test_equal_times_are_not_late(spark, tmp_path):
+    """(time, id) orders the stream: an equal time with a larger id is the next row, in one batch or in two."""
+    schema = "u string, id long, at timestamp, x double"
+    at = dt.datetime(2026, 1, 1)
+    rows = [("a", 1, at, 1.0), ("a", 2, at, 5.0), ("a", 3, at, 2.0), ("a", 4, at + dt.timedelta(days=1), 3.0)]
+    land = str(tmp_path / "land")
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(land)
+        stream = feeds.prior_state_stream(feeds.landing_stream(spark, land, spark.createDataFrame(rows, schema).schema), "u", "at", "id", "x", 5.0)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    got = {r.id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.id: r.m for r in prior_ewm(spark.createDataFrame(rows, schema), ["u"], ["at", "id"], {"m": "x"}, 5.0).collect()}
+    assert not any(r.late for r in got.values()) and got[1].prior_mean is None
+    assert [got[i].prior_mean for i in (2, 3, 4)] == pytest.approx([want[i] for i in (2, 3, 4)], rel=1e-9)
