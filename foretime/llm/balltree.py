@@ -3,7 +3,7 @@
 Vectors are stored as shards of bounded size, each with a tree of balls (centre and
 radius). For a query no vector in a ball scores above q.centre + |q| * radius; nodes
 are taken in order of that bound and left out once it is below the query's k-th best
-score. Queries go to the shards in blocks of bounded size, in two passes: first each
+score. A block of queries goes down a tree together: bounds and scores are matrix products. Queries go to the shards in blocks of bounded size, in two passes: first each
 query visits its most promising shard, which gives a k-th score that the second pass
 hands to all shards; within a task it rises from shard to shard.
 
@@ -19,7 +19,6 @@ a score beyond 64 bits is an error.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,63 +112,116 @@ class Shard:
         self.centres = np.frombuffer(centres, np.float64).reshape(len(self.nodes), dim)
         self.reach = float(np.abs(self.rows).max(initial=0.0))
 
-    def bound(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
-        b = self.centres[nodes] @ q + np.sqrt(q @ q) * self.nodes["radius"][nodes]
-        return b + np.abs(b) * 1e-9 + 1e-6 * (1 + self.reach)  # what rounding may take off
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """(queries, nodes): no vector below a node scores more; a child's bound is at most its parent's."""
+        b = q @ self.centres.T + np.sqrt((q * q).sum(axis=1))[:, None] * self.nodes["radius"]
+        b += np.abs(b) * 1e-9 + 1e-6 * (1 + self.reach)  # what rounding may take off
+        for n, (left, right) in enumerate(zip(self.nodes["left"].tolist(), self.nodes["right"].tolist(), strict=True)):
+            if left >= 0:
+                b[:, [left, right]] = np.minimum(b[:, [left, right]], b[:, [n]])
+        return b
 
     def scores(self, q: np.ndarray, first: int, after: int) -> np.ndarray:
-        if len(q) * self.reach * float(np.abs(q).max(initial=0.0)) < EXACT:
-            return (self.rows[first:after] @ q).astype(np.int64)
-        whole = [int(x) for x in q]
-        return np.array([sum(int(a) * b for a, b in zip(r, whole, strict=True)) for r in self.rows[first:after]], np.int64)
-
-    def search(self, q: np.ndarray, own: int, k: int, best: list[tuple[int, int]], least: float) -> None:
-        """Add to ``best``, a heap of (score, -id), what belongs to the k best. Nothing under ``least`` does."""
-        floor = lambda: max(least, best[0][0]) if len(best) >= k else least
-        queue = [(-float(self.bound(q, [0])[0]), 0)] if len(self.nodes) else []
-        while queue:
-            bound, n = heapq.heappop(queue)
-            if -bound < floor():
-                return
-            first, after, left, right, _ = self.nodes[n]
-            if left >= 0:
-                for m, b in zip((left, right), self.bound(q, [left, right]), strict=True):
-                    if b >= floor():
-                        heapq.heappush(queue, (-float(b), int(m)))
-                continue
-            scores = self.scores(q, first, after)
-            for i in np.flatnonzero(scores >= floor()):
-                if (x := int(self.ids[first + i])) != own:
-                    item = (int(scores[i]), -x)
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-
-
-def visit(shards: DataFrame, block: list[tuple], k: int, least: dict[int, float] | None) -> DataFrame:
+        """(queries, rows first to after), exact."""
+        rows = self.rows[first:after]
+        large = q.shape[1] * self.reach * np.abs(q).max(axis=1, initial=0.0) >= EXACT
+        if not large.any():
+            return (q @ rows.T).astype(np.int64)
+        out = np.empty((len(q), len(rows)), np.int64)
+        out[~large] = (q[~large] @ rows.T).astype(np.int64)
+        for n in np.flatnonzero(large):
+            whole = [int(x) for x in q[n]]
+            out[n] = [sum(int(x) * y for x, y in zip(r, whole, strict=True)) for r in rows]
+        return out
+
+    def search(self, q: np.ndarray, who: np.ndarray, best: "Best") -> None:
+        """Add to ``best`` what belongs to the k best of the queries ``who``, whose vectors are ``q``.
+
+        Each query takes its leaves in order of their bounds, in rounds of 1, 2, 4 ... leaves,
+        until the next bound is under its k-th score; in a round a leaf meets its queries at once."""
+        if not len(self.ids) or not len(who):
+            return
+        leaves = np.flatnonzero(self.nodes["left"] < 0)
+        bounds = self.bounds(q)[:, leaves]
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        done, step, rows = 0, 1, np.arange(len(who))
+        while done < len(leaves) and len(rows):
+            at = order[rows, done:done + step]
+            wanted = bounds[rows[:, None], at] >= best.floor[who[rows], None]
+            rows, at, wanted = (x[wanted[:, 0]] for x in (rows, at, wanted))  # bounds fall along a row
+            found: list[tuple[np.ndarray, ...]] = []
+            for leaf in np.unique(at[wanted]).tolist():
+                these = rows[((at == leaf) & wanted).any(axis=1)]
+                first, after = int(self.nodes["first"][leaves[leaf]]), int(self.nodes["after"][leaves[leaf]])
+                scores, ids = self.scores(q[these], first, after), self.ids[first:after]
+                n, j = np.nonzero((scores >= best.floor[who[these], None]) & (ids != best.own[who[these], None]))
+                found.append((who[these[n]], scores[n, j], ids[j]))
+            if found:
+                best.add(*map(np.concatenate, zip(*found, strict=True)))
+            done, step = done + step, 2 * step
+
+
+class Best:
+    """The k best (score, id) of each query so far, and the score under which nothing belongs to them."""
+
+    def __init__(self, own: np.ndarray, k: int, least: np.ndarray):
+        self.own, self.k, self.least, self.floor = own, k, least, least.copy()
+        self.n = np.zeros(len(own), np.int64)
+        self.score, self.id = np.zeros((len(own), k), np.int64), np.zeros((len(own), k), np.int64)
+
+    def forget(self, who: np.ndarray) -> None:
+        self.n[who], self.floor[who] = 0, self.least[who]
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        known = np.unique(query)
+        n, j = np.nonzero(np.arange(self.k) < self.n[known, None])
+        query, score, ids = (np.concatenate(x) for x in (
+            (known[n], query), (self.score[known[n], j], score), (self.id[known[n], j], ids)))
+        order = np.lexsort((ids, ~score, query))
+        query, score, ids = query[order], score[order], ids[order]
+        _, start, count = np.unique(query, return_index=True, return_counts=True)
+        rank = np.arange(len(query)) - np.repeat(start, count)
+        keep = rank < self.k
+        self.score[query[keep], rank[keep]], self.id[query[keep], rank[keep]] = score[keep], ids[keep]
+        self.n[known] = np.minimum(count, self.k)
+        full = known[count >= self.k]
+        self.floor[full] = np.maximum(self.least[full], self.score[full, self.k - 1])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, j = np.nonzero(np.arange(self.k) < self.n[:, None])
+        return n, self.id[n, j], self.score[n, j]
+
+
+def visit(shards: DataFrame, block: list[tuple], k: int, least: dict[int, int] | None) -> DataFrame:
     """(query, id, score): candidates of the block's queries. Without ``least`` each query
     visits one shard per task, the one with the highest bound; with it, all shards."""
-    ids = [q for q, _ in block]
-    rows = [np.array(v, np.float64) for _, v in block]
+    own = np.array([q for q, _ in block], np.int64)
+    by_length: dict[int, list[int]] = {}
+    for n, (_, v) in enumerate(block):
+        by_length.setdefault(len(v), []).append(n)
+    asked = {d: (np.array(at), np.array([block[n][1] for n in at], np.float64).reshape(len(at), d)) for d, at in by_length.items()}
+    low = np.full(len(block), np.iinfo(np.int64).min)
+    for n, score in (least or {}).items():
+        low[n] = score
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple[int, int]]] = [[] for _ in ids]
-        top: list[float] = [-np.inf] * len(ids)
+        best, top = Best(own, k, low), np.full(len(own), -np.inf)
         for b in batches:
             for j in range(b.num_rows):
                 shard = Shard(*(b.column(c)[j].as_py() for c in ("dim", "ids", "vectors", "nodes", "centres")))
-                for n, (own, q) in enumerate(zip(ids, rows, strict=True)):
-                    if len(q) != shard.rows.shape[1]:
-                        continue
-                    if least is not None:
-                        shard.search(q, own, k, held[n], least.get(n, -np.inf))
-                    elif (bound := float(shard.bound(q, [0])[0])) > top[n]:
-                        top[n], held[n] = bound, []
-                        shard.search(q, own, k, held[n], -np.inf)
-        out = [(n, -i, s) for n, best in enumerate(held) for s, i in best]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query", "id", "score"])
+                if shard.rows.shape[1] not in asked:
+                    continue
+                who, q = asked[shard.rows.shape[1]]
+                if least is None:
+                    root = q @ shard.centres[0] + np.sqrt((q * q).sum(axis=1)) * shard.nodes["radius"][0]
+                    better = root > top[who]
+                    top[who[better]] = root[better]
+                    who, q = who[better], q[better]
+                    best.forget(who)
+                shard.search(q, who, best)
+        n, ids, scores = best.rows()
+        if len(n):
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (n, ids, scores)], names=["query", "id", "score"])
 
     return shards.mapInArrow(search, "query long, id long, score long")
 
@@ -188,7 +240,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
         kth = W.partitionBy("query").orderBy(F.desc("score"), "id")
         floors = first.withColumn("r", F.row_number().over(kth)).where(F.col("r") == k).select("query", "score").collect()
         named = spark.createDataFrame([(n, q) for n, (q, _) in enumerate(block)], "n long, query_id long")
-        best = visit(shards, block, k, {r.query: float(r.score) for r in floors})
+        best = visit(shards, block, k, {r.query: r.score for r in floors})
         best = best.withColumn("rank", F.row_number().over(kth)).where(F.col("rank") <= k)
         found.append(stored(best.join(F.broadcast(named), F.col("query") == F.col("n")).select(
             "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score"), "nearest"))
