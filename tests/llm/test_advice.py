@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -20,3 +21,38 @@ def test_attention_learns_from_all_training_documents(spark, monkeypatch):
     ids = [i for i in train_ids(range(200)) if zlib.crc32(str(i).encode()) // 7 % 64][:60]
     lm.scores(spark.createDataFrame([(i, f"one two w{i % 5} three") for i in ids], "doc_id long, text string")).count()
     assert seen == [60]
+
+
+def test_attention_sees_every_subword_id(spark):
+    seen = np.random.default_rng(0).integers(0, 50, 400)
+    symbols = lm.Symbols(seen, np.arange(400) % 2 == 0, 10)
+    layout = {"starts": symbols.starts, "mass": symbols.mass, "n_bounds": symbols.n_bounds}
+    assert sorted(symbols.number) == list(range(1, 401)) and len(symbols.starts) < 130
+    a = lm.Attention(seed=3, **layout)
+    ids, targets, counts = lm.windows(np.append(np.random.default_rng(1).integers(1, 401, 99), 0), 401)
+    each = np.stack([a.log_probs(ids, np.full_like(ids, t)) for t in range(401)])
+    assert np.allclose(np.exp(each).sum(axis=0), 1, atol=1e-4)
+    # a word ends before the end and before ids that open words
+    assert np.allclose(np.exp(each[:201]).sum(axis=0), np.exp(a.both(ids, targets)[1]), atol=1e-4)
+    # any two ids are told apart as the past of what follows, also two of one class
+    assert a.of[398] == a.of[399]
+    other = np.where(np.arange(lm.WINDOW) == 5, 398, ids[:1]), np.where(np.arange(lm.WINDOW) == 5, 399, ids[:1])
+    one, two = (a.log_probs(x, targets[:1])[0] for x in other)
+    assert (one[:5] == two[:5]).all() and (one[5:] != two[5:]).all()
+    g, flat = a.gradient(ids, targets, counts.astype(np.float32)), a.flat.astype(np.float64)
+    loss = lambda f: -(lm.Attention(f, **layout).log_probs(ids, targets) * counts).sum(dtype=np.float64) / counts.sum()
+    for i in np.argsort(-abs(g))[::60][:25]:
+        d = np.zeros_like(flat)
+        d[i] = 1e-2
+        assert abs((loss(flat + d) - loss(flat - d)) / 2e-2 - g[i]) < 2e-3
+    whole = [np.concatenate([x[c] for x, c in zip(p[1], p[2], strict=True)]) for p in (lm.windows(np.arange(1000) % 401, 401), [np.concatenate(x) for x in zip(*lm.batched([np.arange(1000) % 401], 401, 7), strict=True)])]
+    assert (whole[0] == np.arange(1000) % 401).all() and (whole[1] == whole[0]).all()
+    none = np.empty(0, np.int64)
+    tokenizer = lm.default_tokenizer()
+    words = [b"unbelievableness", b"of", b"xqzv77"]
+    library = lm.encoder(tokenizer).library
+    opens = np.array([library.id_to_token(i).startswith("Ġ") for i in range(library.get_vocab_size())])
+    scorer = lm.Scorer(tokenizer, lm.Symbols(np.zeros(len(opens), int), opens, 0), None, none, none)
+    scorer.learn(set(words))
+    want = library.encode(" unbelievableness of xqzv77", add_special_tokens=False).ids
+    assert len(want) > 5 and scorer.sequence(words)[1].tolist() == [*scorer.symbols.number[want], 0]
