@@ -56,3 +56,16 @@ def test_attention_sees_every_subword_id(spark):
     scorer.learn(set(words))
     want = library.encode(" unbelievableness of xqzv77", add_special_tokens=False).ids
     assert len(want) > 5 and scorer.sequence(words)[1].tolist() == [*scorer.symbols.number[want], 0]
+
+
+def test_every_training_word_has_its_unit_share(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common common w{i} v{i % 7} v{i % 3} v{i % 7}") for i in range(60)] + [(100, None), (101, "")], "doc_id long, text string")
+
+    def scores():
+        return {r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.scores(docs).collect()}
+
+    want = scores()
+    for most in (0, 5):
+        monkeypatch.setattr(lm, "FREQUENT", most)
+        got = scores()
+        assert all(np.allclose(got[d], want[d], rtol=1e-4) for d in want) and len(got) == 62
