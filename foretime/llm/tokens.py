@@ -3,7 +3,8 @@
 A text is cut before each space, where this kind of tokenizer cuts too, and pieces
 not seen before are encoded by the library and remembered by the worker. A cut does
 not hold for a space that stands between other white space, or after it at the
-end; a text with such a space is encoded as a whole.
+end, nor beside a token that the tokenizer adds to its vocabulary (it is found by its
+name before a text is cut); a text with such a space or name is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = {i: t.content for i, t in self.library.get_added_tokens_decoder().items()}
         self.known: dict[str, bytes] = {}
         self.path = path
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
@@ -68,12 +69,14 @@ class Encoder:
             self.known = {p: self.known[p] for p in pieces.difference(new)}
         self._learn(new)
 
-    @staticmethod
-    def _pieces(text: str | None) -> list[str]:
+    def _names_added(self, text: str) -> bool:
+        return any(name in text for name in self.added.values())
+
+    def _pieces(self, text: str | None) -> list[str]:
         """What stands behind each space. A text's start is told apart by a space before it."""
         if not text:
             return []
-        if NO_CUT.search(text):
+        if NO_CUT.search(text) or self._names_added(text):
             return [" " + text]
         pieces = text.split(" ")
         pieces[0] = " " + pieces[0]
@@ -85,7 +88,8 @@ class Encoder:
         # letters with one mark behind them are two of the tokenizer's own units
         marked = [p for p in pieces if p[-1:] in self.marks and p[:-1].isalpha()]
         pieces = pieces.difference(marked).union([p[:-1] for p in marked]).difference(self.known)
-        plain = [p for p in pieces if WORD.fullmatch(p)]
+        named = self._names_added("\n".join(pieces))
+        plain = [p for p in pieces if WORD.fullmatch(p) and not (named and self._names_added(p))]
         odd = list(pieces.difference(plain))
         for p, ids in zip(odd, self._ids([p[1:] if p[:1] == " " else " " + p for p in odd]), strict=True):
             self.known[p] = ids.tobytes()
@@ -110,10 +114,12 @@ class Encoder:
 
     def _byte_lengths(self) -> np.ndarray:
         """Bytes of text that each id stands for. In this kind of vocabulary every
-        character of an entry stands for one byte."""
+        character of an entry stands for one byte; an added token stands for its name."""
         with open(self.path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
-        out = np.zeros(max(vocab.values()) + 1, np.int64)
+        out = np.zeros(max([*vocab.values(), *self.added]) + 1, np.int64)
         for word, i in vocab.items():
             out[i] = len(word)
+        for i, name in self.added.items():
+            out[i] = len(name.encode())
         return out

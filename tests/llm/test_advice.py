@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from foretime.llm import lm  # noqa: E402
+from foretime.llm import lm, token_counts, token_store  # noqa: E402
 
 
 def train_ids(ids):
@@ -69,3 +69,24 @@ def test_every_training_word_has_its_unit_share(spark, monkeypatch):
         monkeypatch.setattr(lm, "FREQUENT", most)
         got = scores()
         assert all(np.allclose(got[d], want[d], rtol=1e-4) for d in want) and len(got) == 62
+
+
+NAMED = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b", " <|endoftext|><|endoftext|> ", "x  <|endoftext|>\n y", "<|endoftext|>. end", "<|endoftext> |> no"]
+
+
+def test_added_tokens_are_encoded_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(lm.default_tokenizer())
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in NAMED]
+    assert want[0] == [64, 220, 50256, 275]
+    e = lm.encoder(lm.default_tokenizer())
+    assert [x.tolist() for x in e.encode(NAMED)] == want
+    assert [int(e.widths[x].sum()) for x in e.encode(NAMED)] == [len(t) for t in NAMED]
+    words = ["<|endoftext|>", "a<|endoftext|>b", "plain"]
+    assert [x.tolist() for x in e.encode_words(words)] == [fresh.encode(" " + w, add_special_tokens=False).ids for w in words]
+    docs = spark.createDataFrame(list(enumerate(NAMED)), "doc_id long, text string")
+    rows = token_store.digests(token_store.read_tokens(*token_store.write_tokens(docs))).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in rows} == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(want)}
+    counted = token_counts.section_tokens(docs).groupBy("doc_id").sum("n_tokens").collect()
+    assert {r[0]: r[1] for r in counted} == {i: len(x) for i, x in enumerate(want)}
