@@ -181,10 +181,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, tkey, class_id, class_tkey, n_links, n_copies), one row per row of ``docs``.
+    """(id, tkey, class_id, class_tkey, n_compared_links, n_copies), one row per row of ``docs``.
 
-    ``class_id`` is the smallest id of the class (its head); ``n_links`` counts the
-    different texts found similar to this one by comparison, ``n_copies`` the rows of equal text."""
+    ``class_id`` is the smallest id of the class (its head), ``n_copies`` the rows of equal text.
+    ``n_compared_links`` counts the different texts found similar to this one by comparison; texts that are
+    already in one class aren't compared, so it isn't the number of similar texts."""
     docs = with_text(docs, text)
     signed = signatures(docs, doc_id, text, bands, rows)
     texts = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("tkey"), F.col(text).alias("text"))
@@ -193,16 +194,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = linked(nodes, texts, least)
     labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("n_compared_links"))
     placed = nodes.join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").withColumn("label", F.coalesce("label", "node")).drop("l")
     heads = placed.groupBy("label").agg(F.min("head").alias("class"))
     placed = placed.join(heads, "label").join(degree, F.col("node") == F.col("n"), "left").select(
-        F.col("content").alias("c"), "class", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.col("content").alias("c"), "class", "n_copies", F.coalesce("n_compared_links", F.lit(0)).alias("n_compared_links"))
     out = signed.join(placed, F.col("content") == F.col("c"), "left")
     own = F.col("class").isNull()
     return out.select(F.col("id").alias(doc_id), "tkey", F.when(own, F.col("id")).otherwise(F.col("class.id")).alias("class_id"),
                       F.when(own, F.col("tkey")).otherwise(F.col("class.tkey")).alias("class_tkey"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+                      F.coalesce("n_compared_links", F.lit(0)).cast("long").alias("n_compared_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def linked(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:

@@ -99,7 +99,7 @@ def top_k_query(table):
 
 @query("op2_minhash")
 def minhash_query(table):
-    return minhash.classes(table("documents")).select("doc_id", "class_id", "n_links", "n_copies")
+    return minhash.classes(table("documents")).select("doc_id", "class_id", "n_compared_links", "n_copies")
 
 
 @query("op7_toxicity")

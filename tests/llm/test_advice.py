@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from foretime.llm import lm, token_counts, token_store  # noqa: E402
+from foretime.llm import lm, minhash, token_counts, token_store  # noqa: E402
 
 
 def train_ids(ids):
@@ -90,3 +90,12 @@ def test_added_tokens_are_encoded_as_the_library_does(spark):
     assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in rows} == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(want)}
     counted = token_counts.section_tokens(docs).groupBy("doc_id").sum("n_tokens").collect()
     assert {r[0]: r[1] for r in counted} == {i: len(x) for i, x in enumerate(want)}
+
+
+def test_links_are_named_as_those_compared(spark):
+    words = [f"k{i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"end{i}"])) for i in range(3)], "doc_id long, text string")
+    rows = minhash.classes(docs).collect()
+    assert {r.class_id for r in rows} == {0} and "n_links" not in rows[0].asDict()
+    # three similar texts are one class by two links or three
+    assert sum(r.n_compared_links for r in rows) in (4, 6)
