@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretime.llm import balltree, decontamination, lm, minhash, mixing, substrings, token_counts, token_store, toxicity, warc
+from foretime.llm import balltree, decontamination, filter_audit, lm, minhash, mixing, substrings, token_counts, token_store, toxicity, warc
 from foretime.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,26 @@ def substrings_query(table):
 @query("op10_lm_scores")
 def lm_query(table):
     return lm.scores(table("documents"))
+
+
+@query("op11_filter_audit", f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {SPACED_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS g, max((toxic = 1)::INT) AS x FROM labels GROUP BY 1),
+f AS (SELECT part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+  regexp_matches(t, '[#$%&*|]') AS d, coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS e, coalesce(g, 0) AS g, coalesce(x, 0) AS x
+  FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END)
+  || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails, count(*) AS n, sum(g) AS g, sum(x) AS x FROM f GROUP BY 1, 2),
+o AS (SELECT p.l || q.l || r.l || s.l || t.l AS filter_order FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) q,
+  (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) r, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) s, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) t
+  WHERE len(list_distinct([p.l, q.l, r.l, s.l, t.l])) = 5),
+k AS (SELECT part, filter_order, step, filter_order[step] AS l, m.*,
+  coalesce(list_min(list_filter(range(1, 6), lambda i: contains(fails, filter_order[i]))), 6) AS gone FROM m, o, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (SELECT part, filter_order, step, l, sum(n) FILTER (WHERE gone > step) AS kept, sum(n) FILTER (WHERE gone = step) AS removed,
+  sum(n) FILTER (WHERE contains(fails, l) AND gone < step) AS redundant, sum(n) FILTER (WHERE fails = l) AS unique_fails,
+  sum(g) FILTER (WHERE gone = step) AS good_lost, sum(x) FILTER (WHERE gone = step) AS toxic_lost FROM k GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, l), 0)::BIGINT AS shapley FROM r""")
+def filter_audit_query(table):
+    return filter_audit.audit(table("documents"), table("labels"))
