@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
@@ -54,6 +55,18 @@ def with_text(df: DataFrame, text: str) -> DataFrame:
     return df if isinstance(df.schema[text].dataType, StringType) else df.withColumn(text, F.col(text).cast("string"))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what is written inside; the session's own after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, by: Iterable[str] = ()) -> DataFrame:
     """Write ``df`` into the shared folder once and scan it from there: later
     stages see the same rows even if executors are lost meanwhile."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretime.llm import balltree, decontamination, filter_audit, lm, minhash, mixing, substrings, token_counts, token_store, toxicity, warc
+from foretime.llm import balltree, decontamination, filter_audit, lm, minhash, mixing, packing, substrings, token_counts, token_store, toxicity, warc
 from foretime.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
   coalesce(sum(removed) OVER (PARTITION BY part, l), 0)::BIGINT AS shapley FROM r""")
 def filter_audit_query(table):
     return filter_audit.audit(table("documents"), table("labels"))
+
+
+@query("op12_packing")
+def packing_query(table):
+    return packing.digests(packing.pack(table("documents")))
