@@ -27,17 +27,18 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType
 
-from foretime.llm.common import arrow_rows, rows_of, sized_groups, stored
+from foretime.llm.common import arrow_rows, rows_of, stored
 from foretime.llm.word_ids import default_word_tokenizer, word_encoder
 
 #: Text bytes encoded at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 12 << 20
 #: Tokens packed at a time by one task, and those of a block that may go on into the next.
 BLOCK_TOKENS = 4 << 20
 CARRIED_TOKENS = BLOCK_TOKENS // 4
@@ -172,6 +173,22 @@ class Packer:
             names=["id", "piece", "start", "length", "ids", "sequence_id", "offset", "open"])
 
 
+def blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
+    """Consecutive rows of about so many bytes of text; a longer text is a block alone."""
+    held, size = [], 0
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy()
+        start = 0
+        for i, n in enumerate(lengths.tolist()):
+            if size and size + n > most_bytes:
+                yield pa.Table.from_batches([*held, b.slice(start, i - start)])
+                held, size, start = [], 0, i
+            size += n
+        held.append(b.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _prefix(round_: int) -> int:
     """Sequence numbers of one task of one round."""
     return round_ << 56 | TaskContext.get().partitionId() << 32
@@ -188,11 +205,13 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limits: Li
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, longest = Packer(limits, fit, _prefix(0), id_type, False), limits.piece
-        for group in sized_groups(rows_of(batches, "id", "text"), 1, BATCH_BYTES):
-            for (id_, _), ids in zip(group, word_encoder(tokenizer).encode([t for _, t in group]), strict=True):
-                ids = np.append(ids, np.int32(end_id))
-                for k, at in enumerate(range(0, len(ids), longest)):
-                    yield from packer.add((id_, k, at, ids[at:at + longest]))
+        for block in blocks(batches, BATCH_BYTES):
+            ids, counts = word_encoder(tokenizer).encode_block(block.column("text").combine_chunks())
+            ends = np.cumsum(counts)
+            for id_, start, end in zip(block.column("id").to_pylist(), ends - counts, ends, strict=True):
+                of = np.append(ids[start:end], np.int32(end_id))
+                for k, at in enumerate(range(0, len(of), longest)):
+                    yield from packer.add((id_, k, at, of[at:at + longest]))
         yield from packer.pack()
 
     with arrow_rows(rows.sparkSession, 1000):

@@ -1,10 +1,10 @@
 """Encoding whole texts with a public tokenizer that drops white space and marks word ends.
 
-Such a tokenizer treats the words between white space apart from each other, so a word is
-encoded once and remembered by the worker, in memory bounded by bytes. New words go
-through the library behind each other in one call, and the bytes that their ids stand for
-tell where each ends. Words that hold added tokens or wide white space, and those of a call
-whose bytes don't add up, are encoded one by one.
+Such a tokenizer treats the words between white space apart from each other, so of a block
+of texts each distinct word is encoded once. Words go through the library behind each
+other in one call, and the bytes that their ids stand for tell where each ends. Words
+that hold added tokens or wide white space, and those of a call whose bytes don't add up,
+are encoded one by one. Nothing is kept from block to block.
 """
 
 from __future__ import annotations
@@ -12,16 +12,16 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Bytes of words and ids that a worker remembers, with what a dictionary adds to each.
-REMEMBERED_BYTES = 96 << 20
-ENTRY_BYTES = 200
 CALL_WORDS = 1 << 14
-MARKS = b".,;:!?"
 WORD_END = "</w>"
+MARKS = ".,;:!?"
+#: Letters with at most one mark behind them: two units of the tokenizer.
+LETTERS_AND_MARK = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+[.,;:!?]?$"
 WIDE_SPACE = re.compile(r"[^\S ]")
 
 _encoders: dict[str, "WordEncoder"] = {}
@@ -40,85 +40,99 @@ def word_encoder(path: str) -> "WordEncoder":
     return _encoders[path]
 
 
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of consecutive runs, each from its start on."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         self.widths = np.zeros(self.library.get_vocab_size(), np.int64)
         for word, i in vocab.items():
             self.widths[i] = len(word.removesuffix(WORD_END))
-        self.known: dict[bytes, bytes] = {}
-        self.held = 0
-        self.marks = {m: self._one_by_one([bytes([m])])[0] for m in MARKS}
+        self.mark_id = np.full(128, -1, np.int32)
+        for m, ids in zip(MARKS, self._one_by_one(list(MARKS)), strict=True):
+            self.mark_id[ord(m)], = ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as int32; a null text is empty."""
-        words = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        need = set(chain.from_iterable(words))
-        new = need.difference(self.known)
-        if self.held > REMEMBERED_BYTES:
-            self.known = {w: self.known[w] for w in need.difference(new)}
-            self.held = sum(map(self._cost, self.known.items()))
-        self._learn(new)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in words]
-
-    @staticmethod
-    def _cost(entry: tuple[bytes, bytes]) -> int:
-        return len(entry[0]) + len(entry[1]) + ENTRY_BYTES
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Letters with one mark behind them are two units of the tokenizer, and ASCII letters
-        are read in lower case: such words are put together from what they share."""
-        base = {}
-        for w in words:
-            b, end = (w[:-1], w[-1]) if w[-1] in self.marks else (w, None)
-            if b.isalpha():
-                base[w] = b.lower(), end
-        bare = {b for b, _ in base.values()}.union(words.difference(base)).difference(self.known)
-        learnt = dict(zip(bare, self._encode_words(list(bare)), strict=True))
-        known = self.known
-        for w in words:
-            b, end = base.get(w, (w, None))
-            ids = learnt[b] if b in learnt else known[b]
-            known[w] = ids if end is None else ids + self.marks[end]
-            self.held += self._cost((w, known[w]))
-
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), CALL_WORDS):
-            part = words[at:at + CALL_WORDS]
-            out += self._together(part) or self._one_by_one(part)
-        return out
-
-    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        return [np.array(e.ids, np.int32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _together(self, words: list[bytes]) -> list[bytes] | None:
-        raw = b" ".join(words)
-        text = raw.decode("utf-8", "replace")
-        if WIDE_SPACE.search(text) or any(a in raw for a in self.added):
-            odd = [w for w in words if WIDE_SPACE.search(w.decode("utf-8", "replace")) or any(a in w for a in self.added)]
-            if len(odd) == len(words):
-                return None
-            apart = dict(zip(odd, self._one_by_one(odd), strict=True))
-            rest = [w for w in words if w not in apart]
-            apart.update(zip(rest, self._together(rest) or self._one_by_one(rest), strict=True))
-            return [apart[w] for w in words]
+        ids, counts = self.encode_block(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(counts)[:-1])
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind each other, and how many each has."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        pool, starts, lengths = self._words(words.dictionary)
+        at = words.indices.to_numpy()
+        each = lengths[at]
+        ids = pool[runs(starts[at], each)]
+        upto = np.concatenate(([0], np.cumsum(each)))[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        return ids, np.diff(upto)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids with the start and length of each word's. Words are put together from
+        what they share: letters apart from their mark, ASCII letters in lower case."""
+        simple = pc.match_substring_regex(words, LETTERS_AND_MARK)
+        stems = pc.if_else(simple, pc.utf8_rtrim(words, MARKS), words)
+        stems = pc.if_else(pc.and_(simple, pc.string_is_ascii(stems)), pc.ascii_lower(stems), stems).dictionary_encode()
+        has = pc.and_(simple, pc.match_substring_regex(words, "[.,;:!?]$")).to_numpy(zero_copy_only=False)
+        pool, starts, lengths = self._pool(stems.dictionary.to_pylist())
+        at = stems.indices.to_numpy()
+        of = lengths[at]
+        whole = of + has
+        first = np.cumsum(whole) - whole
+        out = np.empty(int(whole.sum()), np.int32)
+        out[runs(first, of)] = pool[runs(starts[at], of)]
+        marked = np.flatnonzero(has)
+        last = np.frombuffer(words.buffers()[2], np.uint8)[np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1:][marked] - 1] if len(marked) else marked
+        out[first[marked] + of[marked]] = self.mark_id[last]
+        return out, first, whole
+
+    def _pool(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        odd = set()
+        joined = " ".join(words)
+        if "" in words or WIDE_SPACE.search(joined) or any(a in joined for a in self.added):
+            odd = {i for i, w in enumerate(words) if not w or WIDE_SPACE.search(w) or any(a in w for a in self.added)}
+        plain = np.array([i for i in range(len(words)) if i not in odd], np.int64)
+        lengths, parts, order = np.zeros(len(words), np.int64), [], []
+        for at in range(0, len(plain), CALL_WORDS):
+            places = plain[at:at + CALL_WORDS]
+            found = self._together([words[i] for i in places])
+            if found is None:
+                odd.update(places.tolist())
+                continue
+            parts.append(found[0])
+            lengths[places] = found[1]
+            order.append(places)
+        rest = sorted(odd)
+        for ids in self._one_by_one([words[i] for i in rest]):
+            parts.append(np.array(ids, np.int32))
+        lengths[rest] = [len(p) for p in parts[len(parts) - len(rest):]]
+        order = np.concatenate([*order, np.array(rest, np.int64)])
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate([*parts, np.empty(0, np.int32)]), starts, lengths
+
+    def _one_by_one(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words without white space, and how many each has."""
+        text = " ".join(words)
         ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-        plain = raw if text.isascii() else unicodedata.normalize("NFC", text).lower().encode()
+        plain = (text if text.isascii() else unicodedata.normalize("NFC", text).lower()).encode()
         spaces = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
         ends = np.append(spaces, len(plain)) - np.arange(len(spaces) + 1)
         upto = np.cumsum(self.widths[ids])
         if len(ends) != len(words) or not len(upto) or upto[-1] != ends[-1]:
             return None
         cuts = np.searchsorted(upto, ends)
-        if not (upto[cuts] == ends).all():
-            return None
-        data, cuts = ids.tobytes(), ((cuts + 1) * 4).tolist()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return (ids, np.diff(cuts + 1, prepend=0)) if (upto[cuts] == ends).all() else None
