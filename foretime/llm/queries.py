@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretime.llm import balltree, decontamination, filter_audit, lm, minhash, mixing, packing, substrings, token_counts, token_store, toxicity, warc
+from foretime.llm import balltree, decontamination, filter_audit, lm, minhash, mixing, packing, repair, substrings, token_counts, token_store, toxicity, warc
 from foretime.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,50 @@ def filter_audit_query(table):
 @query("op12_packing")
 def packing_query(table):
     return packing.digests(packing.pack(table("documents")))
+
+
+def _plus(cost: str, letters: str, path: str) -> str:
+    """A path (nine digits of cost, then letters) behind some more edits; text order is that of cost, then letters."""
+    return f"lpad((substr({path}, 1, 9)::INT + {cost})::VARCHAR, 9, '0') || '{letters}' || substr({path}, 10)"
+
+
+#: For each grammar state (nothing yet, after system, user, assistant) the one behind the role that it calls for.
+_CALLED = (2, 2, 3, 2)
+_OVER_ROW = ", ".join(
+    "least({delete}, CASE WHEN NOT gone AND role IN ({called}) THEN {keep} END, {system}CASE WHEN NOT gone AND role NOT IN ({called}) THEN {rerole} END) AS b{s}".format(
+        s=s, called="'a'" if s == 2 else "'u'", delete=_plus("3", "D", f"v{s}"), keep=_plus("cut", "K", f"v{n}"), rerole=_plus("2 + cut", "R", f"v{n}"),
+        system=f"CASE WHEN NOT gone AND role = 's' THEN {_plus('cut', 'K', 'v1')} END, " if s == 0 else "")
+    for s, n in enumerate(_CALLED))
+_INSERTED = ", ".join(f"least(b{s}, {_plus('2', 'I', f'b{n}')}, {_plus('4', 'II', f'b{_CALLED[n]}')}) AS v{s}" for s, n in enumerate(_CALLED))
+
+
+@query("op13_conversation_repair", f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
+  lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+dealt AS (SELECT raw.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+  lambda c, b: xor(c // 256, tab[(xor(c, b) % 256) + 1])), 4294967295) % 20 AS x FROM raw, tab),
+d AS (SELECT conv_id, turn, CASE x WHEN 4 THEN 'user' ELSE role END AS role, CASE x WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM dealt, (SELECT unnest([0, 1]) AS copy) WHERE x <> 0 AND (copy = 0 OR x = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i FROM d),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') AS open, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+r AS (SELECT conv_id, i, role AS whole, text, left(role, 1) AS role, blank OR again AS gone, (NOT blank AND NOT again AND open)::INT AS cut, turn, blank, NOT blank AND again AS duplicate,
+  before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM f),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(duplicate::INT) AS duplicate, sum(cut) AS truncated,
+  sum(illegal::INT) AS illegal, count(*) AS rows FROM r GROUP BY 1),
+back AS (SELECT conv_id, rows AS i, '000000000' AS v0, '000000004II' AS v1, '000000002I' AS v2, '000000000' AS v3 FROM n
+  UNION ALL SELECT conv_id, i - 1, {_INSERTED} FROM (SELECT conv_id, i, {_OVER_ROW} FROM back JOIN r USING (conv_id, i))),
+best AS (SELECT conv_id, substr(v0, 1, 9)::BIGINT AS cost, substr(v0, 10) AS audit FROM back WHERE i = 0),
+walk AS (SELECT conv_id, audit, 1 AS j, 1::BIGINT AS i, 0 AS state, []::VARCHAR[] AS said FROM best
+  UNION ALL SELECT w.conv_id, audit, j + 1, CASE WHEN e = 'I' THEN w.i ELSE w.i + 1 END,
+    CASE WHEN e = 'D' THEN state WHEN e = 'K' AND state = 0 AND r.role = 's' THEN 1 WHEN state = 2 THEN 3 ELSE 2 END,
+    CASE e WHEN 'D' THEN said WHEN 'K' THEN list_append(said, whole || ':' || text)
+      ELSE list_append(said, CASE WHEN state = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE e WHEN 'R' THEN text ELSE '' END) END
+  FROM (SELECT *, audit[j] AS e FROM walk WHERE j <= length(audit)) w LEFT JOIN r ON w.conv_id = r.conv_id AND w.i = r.i),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN n USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN walk ON walk.conv_id = ids.conv_id AND walk.j = length(walk.audit) + 1""")
+def conversation_repair_query(table):
+    return repair.repair_damaged(table("conversations"))
