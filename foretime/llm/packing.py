@@ -50,7 +50,7 @@ TASK_TOKENS = 32 << 20
 LEAST_SAVED = 0.02
 ROWS_OUT = 2000
 
-PIECES = "piece int, start long, length long, ids array<int>"
+PIECES = "piece int, start long, length long, ids binary"
 PACKED = f"{PIECES}, sequence_id long, offset long, open boolean"
 
 
@@ -165,7 +165,7 @@ class Packer:
     def _batch(self, rows, bins, offsets, number, is_open) -> pa.RecordBatch:
         out = [self.pieces[i] for i in rows.tolist()]
         lengths = np.array([len(p[3]) for p in out], np.int64)
-        ids = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), pa.array(np.concatenate([p[3] for p in out])))
+        ids = pa.array([p[3].tobytes() for p in out], pa.binary())
         b = bins[rows]
         return pa.RecordBatch.from_arrays(
             [pa.array([p[0] for p in out], self.id_type), pa.array([p[1] for p in out], pa.int32()), pa.array([p[2] for p in out], pa.int64()), pa.array(lengths), ids,
@@ -197,7 +197,8 @@ def _prefix(round_: int) -> int:
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limits: Limits = Limits(), fit: Fit = Fit(),
          tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
     """(id, piece, start, length, ids, sequence_id, offset): the pieces of all documents, with
-    their token ids, and where each stands. ``start`` counts its document's ids before it."""
+    their token ids, and where each stands. ``start`` counts its document's ids before it;
+    ``ids`` are little-endian, of as many bytes as the vocabulary needs (``id_arrays`` unpacks them)."""
     tokenizer = tokenizer or default_word_tokenizer()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast(StringType()).alias("text"))
     id_type, kind = to_arrow_type(rows.schema["id"].dataType), rows.schema["id"].dataType.simpleString()
@@ -209,7 +210,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limits: Li
             ids, counts = word_encoder(tokenizer).encode_block(block.column("text").combine_chunks())
             ends = np.cumsum(counts)
             for id_, start, end in zip(block.column("id").to_pylist(), ends - counts, ends, strict=True):
-                of = np.append(ids[start:end], np.int32(end_id))
+                of = np.append(ids[start:end], ids.dtype.type(end_id))
                 for k, at in enumerate(range(0, len(of), longest)):
                     yield from packer.add((id_, k, at, of[at:at + longest]))
         yield from packer.pack()
@@ -240,21 +241,35 @@ def _repack(pieces: DataFrame, tasks: int, round_: int, limits: Limits, fit: Fit
     """Pieces of any sequences, dealt out by a hash and packed anew."""
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(limits, fit, _prefix(round_), id_type, tasks == 1)
-        for b in batches:
-            lists = b.column("ids")
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for k, row in enumerate(rows_of([b], "id", "piece", "start")):
-                yield from packer.add((*row, values[ends[k]:ends[k + 1]]))
+        for *row, length, ids in rows_of(batches, "id", "piece", "start", "length", "ids"):
+            yield from packer.add((*row, numbers(ids, length)))
         yield from packer.pack()
 
     dealt = pieces.repartition(tasks, F.xxhash64("sequence_id", "offset"))
-    return dealt.select("id", "piece", "start", "ids").mapInArrow(again, schema)
+    return dealt.select("id", "piece", "start", "length", "ids").mapInArrow(again, schema)
+
+
+def numbers(ids: bytes, length: int) -> np.ndarray:
+    """The ids of one piece."""
+    return np.frombuffer(ids, f"<u{len(ids) // max(length, 1)}")
+
+
+def id_arrays(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``ids`` as arrays of int."""
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("ids")
+            lists = [numbers(*x).astype(np.int32) for x in rows_of([b], "ids", "length")]
+            yield b.set_column(at, "ids", pa.array(lists, pa.list_(pa.int32())))
+
+    fields = ", ".join(f"`{f.name}` {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in packed.schema)
+    return packed.mapInArrow(unpacked, fields)
 
 
 def sequences(packed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(sequence_id, ids, documents): the packed sequences themselves, of at most their capacity."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids", F.col(doc_id).alias("doc"))))
-    return packed.groupBy("sequence_id").agg(parts.alias("p")).select(
+    return id_arrays(packed).groupBy("sequence_id").agg(parts.alias("p")).select(
         "sequence_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), F.transform("p", lambda x: x["doc"]).alias("documents"))
 
 
@@ -266,9 +281,7 @@ def digests(packed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("ids")
-            values, ends = lists.values.to_numpy().astype("<u4", copy=False), lists.offsets.to_numpy()
-            sums = [zlib.crc32(values[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+            sums = [zlib.crc32(numbers(*x).astype("<u4")) for x in rows_of([b], "ids", "length")]
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(sums, pa.int64())], names=[*b.schema.names[:6], "ids_crc32"])
 
     schema = f"id {kind}, piece int, start long, length long, sequence_id long, offset long, ids_crc32 long"

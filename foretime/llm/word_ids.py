@@ -43,7 +43,7 @@ def word_encoder(path: str) -> "WordEncoder":
 def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places of consecutive runs, each from its start on."""
     ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+    return np.repeat((starts - (ends - lengths)).astype(np.int32), lengths) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
 
 
 class WordEncoder:
@@ -54,15 +54,16 @@ class WordEncoder:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.widths = np.zeros(self.library.get_vocab_size(), np.int64)
         for word, i in vocab.items():
             self.widths[i] = len(word.removesuffix(WORD_END))
-        self.mark_id = np.full(128, -1, np.int32)
+        self.mark_id = np.zeros(128, self.kind)
         for m, ids in zip(MARKS, self._one_by_one(list(MARKS)), strict=True):
             self.mark_id[ord(m)], = ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text as int32; a null text is empty."""
+        """Ids of each text; a null text is empty."""
         ids, counts = self.encode_block(pa.array(texts, pa.string()))
         return np.split(ids, np.cumsum(counts)[:-1])
 
@@ -89,7 +90,7 @@ class WordEncoder:
         of = lengths[at]
         whole = of + has
         first = np.cumsum(whole) - whole
-        out = np.empty(int(whole.sum()), np.int32)
+        out = np.empty(int(whole.sum()), self.kind)
         out[runs(first, of)] = pool[runs(starts[at], of)]
         marked = np.flatnonzero(has)
         last = np.frombuffer(words.buffers()[2], np.uint8)[np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1:][marked] - 1] if len(marked) else marked
@@ -114,12 +115,12 @@ class WordEncoder:
             order.append(places)
         rest = sorted(odd)
         for ids in self._one_by_one([words[i] for i in rest]):
-            parts.append(np.array(ids, np.int32))
+            parts.append(np.array(ids, self.kind))
         lengths[rest] = [len(p) for p in parts[len(parts) - len(rest):]]
         order = np.concatenate([*order, np.array(rest, np.int64)])
         starts = np.empty(len(words), np.int64)
         starts[order] = np.cumsum(lengths[order]) - lengths[order]
-        return np.concatenate([*parts, np.empty(0, np.int32)]), starts, lengths
+        return np.concatenate([*parts, np.empty(0, self.kind)]), starts, lengths
 
     def _one_by_one(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
@@ -127,7 +128,7 @@ class WordEncoder:
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of words without white space, and how many each has."""
         text = " ".join(words)
-        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
         plain = (text if text.isascii() else unicodedata.normalize("NFC", text).lower()).encode()
         spaces = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
         ends = np.append(spaces, len(plain)) - np.arange(len(spaces) + 1)
