@@ -1,53 +1,99 @@
 """Ordered rating fold over events that couple two entities.
 
-A rating depends on both sides' earlier ratings, so no window over one entity
-can express it. Events are folded pool by pool; pools share no entity and run in
-parallel. A pool too long for one task is cut into time-ordered steps and the
-ratings it ends with are handed to the next step through the checkpoint folder,
-so memory stays bounded whatever the pool's length.
+A rating depends on both sides' earlier ratings, so no window over one entity can
+express it. What an event has to wait for is only its two sides' previous events:
+its level is one more than the larger level of those. Events of one level touch each
+entity once, so a whole level is folded at once, with arrays.
+
+Pools share no entity. A task streams the events of its pools in time order, block by
+block, and holds one number per entity, however long a pool is. Across the pools of a task
+and the entities of a pool the levels are few and wide; a pool is one task's work only
+as far as its own events depend on each other.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretime.functions import fixed
-from foretime.operators.ordered import CHUNK, chunk_rows, over_limit
 from foretime.operators.prior import prior_value
 from foretime.operators.sides import to_sides
-from foretime.session import stable
 
-#: Events of one pool folded by one task.
-STEP_EVENTS = 1_000_000
+#: Events of a stream whose levels are worked out together.
+STEP_EVENTS = 8192
 
 
-def _expected(home: float, away: float, advantage: float) -> float:
-    return 1.0 / (1.0 + 10.0 ** ((away - home - advantage) / 400.0))
-
-
-def _shift(home: float, away: float, margin: float, k: float, advantage: float) -> float:
-    """Points the home side gains from one decided event."""
+def gains(home: np.ndarray, away: np.ndarray, margin: np.ndarray, k: float, advantage: float) -> np.ndarray:
+    """Points each home side gains; an event without a result moves none."""
     won = margin > 0
-    lead = home - away if won else away - home
+    lead = np.where(won, home - away, away - home)
     damp = fixed.RATING_MARGIN_DENOM / (fixed.RATING_MARGIN_SCALE * lead + fixed.RATING_MARGIN_DENOM)
-    surprise = (1.0 if won else 0.0) - _expected(home, away, advantage)
-    return k * math.log(abs(margin) + 1.0) * damp * surprise
-
-
-def _fold(events: pd.DataFrame, held: dict, k: float, start: float, advantage: float):
-    """Ratings before each event, and the ratings held afterwards."""
-    before = []
-    for home, away, margin in events[["_home", "_away", "_margin"]].itertuples(index=False):
-        h, a = held.get(home, start), held.get(away, start)
-        before.append((h, a))
-        gain = _shift(h, a, margin, k, advantage)
-        held[home], held[away] = h + gain, a - gain
-    return before
+    surprise = won - 1.0 / (1.0 + 10.0 ** ((away - home - advantage) / 400.0))
+    return np.where(np.isnan(margin), 0.0, k * np.log(np.abs(margin) + 1.0) * damp * surprise)
+
+
+def levels(home: np.ndarray, away: np.ndarray) -> Iterator[np.ndarray]:
+    """Events, given in order by the numbers of their sides, level by level: those that
+    wait for no event, then those that wait only for these, and so on."""
+    n = len(home)
+    sides, events = np.concatenate((home, away)), np.tile(np.arange(n), 2)
+    order = np.lexsort((events, sides))
+    sides, events = sides[order], events[order]
+    # the next event of the same entity, for each side of each event
+    linked = np.flatnonzero((sides[1:] == sides[:-1]) & (events[1:] != events[:-1]))
+    before, after = events[linked], events[linked + 1]
+    waits = np.bincount(after, minlength=n)
+    by = np.argsort(before, kind="stable")
+    after, first = after[by], np.searchsorted(before[by], np.arange(n + 1))
+    ready = np.flatnonzero(waits == 0)
+    while len(ready):
+        yield ready
+        runs = first[ready + 1] - first[ready]
+        freed = after[np.repeat(first[ready] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())]
+        np.subtract.at(waits, freed, 1)
+        ready = np.unique(freed[waits[freed] == 0])
+
+
+class Ratings:
+    """Ratings held by one task: an entity's number is its place in ``held``."""
+
+    def __init__(self, k: float, start: float, advantage: float):
+        self.k, self.start, self.advantage = k, start, advantage
+        self.number: dict[str, int] = {}
+        self.held = np.empty(0)
+
+    def _numbers(self, keys: pa.Array) -> np.ndarray:
+        coded = keys.dictionary_encode()
+        known = [self.number.setdefault(x, len(self.number)) for x in coded.dictionary.to_pylist()]
+        if len(self.number) > len(self.held):
+            fresh = np.full(max(len(self.number), 2 * len(self.held)) - len(self.held), self.start)
+            self.held = np.concatenate((self.held, fresh))
+        return np.array(known, np.int64)[coded.indices.to_numpy()]
+
+    def fold(self, home: pa.Array, away: pa.Array, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both sides' ratings before each event; the events' own results are taken in."""
+        sides = self._numbers(pa.concat_arrays([home, away]))
+        h, a = sides[:len(home)], sides[len(home):]
+        before = np.empty((2, len(h)))
+        for at in levels(h, a):
+            x, y = self.held[h[at]], self.held[a[at]]
+            before[0, at], before[1, at] = x, y
+            gain = gains(x, y, margin[at], self.k, self.advantage)
+            self.held[h[at]] = x + gain
+            self.held[a[at]] = y - gain
+        return before[0], before[1]
+
+
+def _key(pool: Sequence[str], entity: str) -> Column:
+    """An entity within its pool, as one string that no other can equal."""
+    parts = [F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+             for c in (*map(F.col, pool), F.col(entity))]
+    return F.concat(*parts)
 
 
 def rating_fold(events: DataFrame, pool: Sequence[str], time: str, id: str, home: str, away: str,
@@ -57,61 +103,29 @@ def rating_fold(events: DataFrame, pool: Sequence[str], time: str, id: str, home
     """One row per event: ``pool``, ``id``, ``home_pre``, ``away_pre``.
 
     Ties must be filtered out beforehand. Both ratings are read before the
-    event's own result is folded in.
+    event's own result is folded in; an event without a result changes none.
     """
     pool = list(pool)
     e = events.select(
-        *pool, F.col(time).alias("_time"), F.col(id).alias("_id"),
-        F.col(home).cast("string").alias("_home"), F.col(away).cast("string").alias("_away"),
+        *[F.col(p).alias(f"_p{i}") for i, p in enumerate(pool)], F.col(time).alias("_time"), F.col(id).alias("_id"),
+        _key(pool, home).alias("_home"), _key(pool, away).alias("_away"),
         (F.col(home_score) - F.col(away_score)).cast("double").alias("_margin"))
+    kept = [*[f"_p{i}" for i in range(len(pool))], "_id"]
     types = {f.name: f.dataType.simpleString() for f in e.schema}
-    keys = ", ".join(f"`{p}` {types[p]}" for p in pool)
-    out_schema = f"{keys}, _id {types['_id']}, home_pre double, away_pre double"
-
-    def finish(df: DataFrame) -> DataFrame:
-        return df.select(*pool, F.col("_id").alias(id), "home_pre", "away_pre")
-
-    def whole_pool(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_time", "_id"])
-        pairs = _fold(pdf, {}, k, start, advantage)
-        return pdf[[*pool, "_id"]].assign(home_pre=[h for h, _ in pairs], away_pre=[a for _, a in pairs])
-
-    if not over_limit(e, pool, step_events):
-        return finish(e.groupBy(*pool).applyInPandas(whole_pool, out_schema))
-
-    step_schema = (f"{keys}, _id {types['_id']}, home_pre double, away_pre double, "
-                   "_entity string, _rating double")
-
-    def step(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        held = dict(zip(state["_entity"], state["_rating"], strict=True))
-        pdf = pdf.sort_values(["_time", "_id"])
-        pairs = _fold(pdf, held, k, start, advantage)
-        rows = pdf[[*pool, "_id"]].assign(
-            home_pre=[h for h, _ in pairs], away_pre=[a for _, a in pairs], _entity=None, _rating=None)
-        first = pdf.iloc[:1] if len(pdf) else state.iloc[:1]
-        after = pd.DataFrame({"_entity": list(held), "_rating": list(held.values())})
-        for p in pool:
-            after[p] = first[p].iloc[0]
-        return pd.concat([rows, after.assign(_id=None, home_pre=None, away_pre=None)])[
-            [*pool, "_id", "home_pre", "away_pre", "_entity", "_rating"]]
-
-    numbered = stable(chunk_rows(e, pool, ["_time", "_id"], step_events))
-    steps = numbered.agg(F.max(CHUNK)).first()[0] + 1
-    spark = events.sparkSession
-    state = spark.createDataFrame([], f"{keys}, _entity string, _rating double")
-    done = []
-    for i in range(steps):
-        now = numbered.where(F.col(CHUNK) == i)
-        seen = to_sides(now, pool, {"_entity": "_home"}, {"_entity": "_away"}).select(*pool, "_entity").distinct()
-        needed = state.join(seen, [*pool, "_entity"], "left_semi")
-        folded = stable(now.groupBy(*pool).cogroup(needed.groupBy(*pool)).applyInPandas(step, step_schema))
-        done.append(folded.where("_entity IS NULL"))
-        fresh = folded.where("_entity IS NOT NULL").select(*pool, "_entity", "_rating")
-        state = stable(state.join(fresh, [*pool, "_entity"], "left_anti").unionByName(fresh))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return finish(out)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratings = Ratings(k, start, advantage)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step_events):
+                b = whole.slice(at, step_events)
+                margin = b.column("_margin").to_numpy(zero_copy_only=False)
+                pair = ratings.fold(b.column("_home"), b.column("_away"), margin)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *map(pa.array, pair)], names=[*kept, "home_pre", "away_pre"])
+
+    dealt = e.repartition(*kept[:-1]) if pool else e.coalesce(1)
+    out = dealt.sortWithinPartitions("_time", "_id").mapInArrow(
+        folded, ", ".join(f"{c} {types[c]}" for c in kept) + ", home_pre double, away_pre double")
+    return out.select(*[F.col(f"_p{i}").alias(p) for i, p in enumerate(pool)], F.col("_id").alias(id), "home_pre", "away_pre")
 
 
 def rating_after(ratings: DataFrame, events: DataFrame, id: str, home_score: str, away_score: str,

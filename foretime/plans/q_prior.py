@@ -286,25 +286,45 @@ def ratings_of(t: Tables):
                                  "home_score", "away_score")
 
 
-@query("rating_fold_by_pool")
+_GAIN = """20.0::DOUBLE * ln(abs(m) + 1) * 2.2::DOUBLE / (0.001::DOUBLE * CASE WHEN m > 0 THEN hp - ap ELSE ap - hp END + 2.2::DOUBLE)
+  * ((m > 0)::INT - 1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, (ap - hp - 44.72586959078301::DOUBLE) / 400.0::DOUBLE)))"""
+#: Ratings event by event: every pool's n-th event reads and moves two of its entities' ratings.
+_FOLDED = f"""
+WITH RECURSIVE e AS (SELECT pool, row_number() OVER (PARTITION BY pool ORDER BY kickoff, game_id) AS n, game_id,
+  substr(pool_home, 2)::INT + 1 AS h, substr(pool_away, 2)::INT + 1 AS a, home_score - away_score AS m FROM decided_games WHERE pool_home <> pool_away),
+f AS (SELECT pool, 0::BIGINT AS n, list_transform(range(20), lambda x: 1500.0::DOUBLE) AS r, NULL::BIGINT AS game_id, NULL::DOUBLE AS home_pre, NULL::DOUBLE AS away_pre
+   FROM (SELECT DISTINCT pool FROM e)
+  UNION ALL SELECT pool, n, list_transform(r, lambda x, i: CASE i WHEN h THEN x + gain WHEN a THEN x - gain ELSE x END), game_id, hp, ap FROM (
+    SELECT *, {_GAIN} AS gain
+    FROM (SELECT e.*, r, r[h] AS hp, r[a] AS ap FROM f JOIN e ON e.pool = f.pool AND e.n = f.n + 1)))
+"""
+
+
+@query("rating_fold_by_pool", _FOLDED + "SELECT game_id, pool, round(home_pre, 6) AS home_pre, round(away_pre, 6) AS away_pre FROM f WHERE n > 0", ("decided_games",))
 def rating_fold_by_pool(t):
     """Ratings before each event, folded in time order inside each pool."""
     _, r = ratings_of(t)
     return r.select("game_id", "pool", *r6("home_pre", "away_pre"))
 
 
-@query("rating_chain_audit", """
-SELECT 2 * count(*) AS checked, 0::BIGINT AS mismatches FROM decided_games WHERE pool_home <> pool_away""", ("decided_games",))
+@query("rating_chain_audit", _FOLDED + f""", t AS (SELECT f.pool, f.n, h, a, m, home_pre + CASE WHEN f.game_id % 97 = 0 THEN 1 ELSE 0 END AS hp, away_pre AS ap FROM f JOIN e USING (pool, n)),
+u AS (SELECT *, {_GAIN} AS gain FROM t),
+s AS (SELECT pool, n, h AS x, hp AS pre, hp + gain AS post FROM u UNION ALL SELECT pool, n, a, ap, ap - gain FROM u),
+c AS (SELECT abs(pre - coalesce(lag(post) OVER (PARTITION BY pool, x ORDER BY n), 1500.0::DOUBLE)) > 1e-9 AS off FROM s)
+SELECT count(*) AS checked, count(*) FILTER (off) AS mismatches FROM c""", ("decided_games",))
 def rating_chain_audit(t):
-    """Every rating equals the previous event's recomputed outcome, or the start value."""
+    """Ratings that don't follow from the previous event's recomputed outcome; some are made wrong to be found."""
     g, r = ratings_of(t)
+    r = r.withColumn("home_pre", F.col("home_pre") + F.when(F.col("game_id") % 97 == 0, 1.0).otherwise(0.0))
     a = rating.rating_audit(r, g.select("game_id", "kickoff", "pool", "pool_home", "pool_away", "home_score", "away_score"),
                             ["pool"], "kickoff", "game_id", "pool_home", "pool_away", "home_score", "away_score")
     return a.agg(F.count(F.lit(1)).alias("checked"),
                  F.count_if(F.abs(F.col("pre") - F.col("expected")) > 1e-9).alias("mismatches"))
 
 
-@query("rating_for_open_events", None)
+@query("rating_for_open_events", _FOLDED + """, played AS (SELECT DISTINCT pool, x AS entity FROM (SELECT pool, unnest([pool_home, pool_away]) AS x FROM decided_games WHERE pool_home <> pool_away)),
+last AS (SELECT pool, r FROM f QUALIFY row_number() OVER (PARTITION BY pool ORDER BY n DESC) = 1)
+SELECT pool, entity, round(r[substr(entity, 2)::INT + 1], 6) AS rating FROM played JOIN last USING (pool)""", ("decided_games",))
 def rating_for_open_events(t):
     """H2: rating an open event of each entity would start from."""
     g, r = ratings_of(t)
