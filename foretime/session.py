@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Typed state and timers need this store; it keeps state on disk, beyond an executor's memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(master: str | None = None, app: str = "foretime", **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -25,9 +29,10 @@ def build_session(master: str | None = None, app: str = "foretime", **conf) -> S
 
 
 def pin(spark: SparkSession) -> SparkSession:
-    """Runtime settings every operator relies on: UTC wall clock, adaptive plans."""
+    """Runtime settings every operator relies on: UTC wall clock, adaptive plans, streams' state on disk."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
 
 
