@@ -53,7 +53,7 @@ class PriorState(StatefulProcessor):
         self.now = handle.getValueState("now", f"total double, weight double, seen bigint, us bigint, id {self.id_type}")
         self.recent = handle.getListState("recent", "value double")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         total, weight, seen, us, last_id = self.now.get() if self.now.exists() else (0.0, 0.0, 0, None, None)
         arrived = pd.concat([c[["at_us", self.id, "at_value"]] for c in rows]).sort_values(["at_us", self.id])
         late = pd.Series(False, arrived.index) if us is None else (
@@ -70,12 +70,12 @@ class PriorState(StatefulProcessor):
             newest = (plain(news["at_us"].iloc[-1]), plain(news[self.id].iloc[-1]))
             self.now.update((float(total), float(weight), seen + len(x), *newest))
             self.recent.put([(float(v),) for v in series[-self.window:]])
-        if self.idle_ms is not None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+            if self.idle_ms is not None:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(newest[0] // 1000 + self.idle_ms)
 
-    def handleExpiredTimer(self, key: tuple, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         total, weight, seen, _, last_id = self.now.get()
         held = [r[0] for r in self.recent.get()]
         self.now.clear()
@@ -126,24 +126,27 @@ def prior_window_means(series: np.ndarray, start: int, window: int) -> np.ndarra
 
 
 def prior_state_stream(events: DataFrame, entity: str, time: str, id: str, metric: str, halflife: float,
-                       window: int = 22, idle_ms: int | None = None) -> DataFrame:
+                       window: int = 22, idle_ms: int | None = None, delay: str = "0 seconds") -> DataFrame:
     """Per event what was known of its entity before it, kept between arrivals: ``prior_mean`` (decayed),
     ``prior_rows`` and ``recent_mean`` (over the last ``window`` rows).
 
     Rows are ordered by (time, id). A row at or before the entity's newest one in that order is
     ``late``: it comes out flagged, without values, and leaves the state alone (the batch build
-    corrects it). With ``idle_ms`` an entity without rows for so long comes out once
-    more, ``closed``, with its newest id and what its next row would have known, and is forgotten.
+    corrects it). With ``idle_ms`` an entity whose newest row is older than that by the clock of the
+    stream's times (its watermark, ``delay`` behind the newest time of all) comes out once more,
+    ``closed``, with its newest id and what its next row would have known, and is forgotten.
     State per entity is a few numbers and one window; a task sees the numbers of an
     entity's rows in one micro-batch, which the source's trigger limit bounds.
     """
     types = {f.name: f.dataType.simpleString() for f in events.schema}
     out = (f"`{entity}` {types[entity]}, `{id}` {types[id]}, prior_mean double, prior_rows bigint, recent_mean double, "
            "late boolean, closed boolean")
+    if idle_ms is not None:
+        events = events.withWatermark(time, delay)
     # column names reach the processor only without a leading underscore
     rows = events.select(entity, id, F.unix_micros(time).alias("at_us"), F.col(metric).cast("double").alias("at_value"))
     state = PriorState(entity, id, types[id], halflife, window, idle_ms)
-    return rows.groupBy(entity).transformWithStateInPandas(state, out, "Append", "None" if idle_ms is None else "ProcessingTime")
+    return rows.groupBy(entity).transformWithStateInPandas(state, out, "Append", "None" if idle_ms is None else "EventTime")
 
 
 def append_states(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

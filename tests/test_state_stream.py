@@ -1,7 +1,6 @@
 """State kept between arrivals: array folds against plain sums, windows, and timers that close entities."""
 
 import datetime as dt
-import time
 
 import numpy as np
 import pytest
@@ -58,10 +57,10 @@ def test_window_and_late_rows_over_arrivals(spark, tmp_path):
 
 
 def test_silent_entities_are_closed_and_forgotten(spark, tmp_path):
-    run(spark, tmp_path, [("a", "1", DAY, 4.0), ("a", "2", DAY, 6.0)], idle_ms=1)
-    time.sleep(0.05)
-    got = run(spark, tmp_path, [("b", "1", DAY, 1.0)], idle_ms=1)
+    day_ms = 86_400_000
+    run(spark, tmp_path, [("a", "1", DAY, 4.0), ("a", "2", DAY, 6.0)], idle_ms=day_ms)
+    got = run(spark, tmp_path, [("b", "1", DAY + dt.timedelta(days=3), 1.0)], idle_ms=day_ms)
     assert ("a", "2", 2, 5.0, "false", True) in got and ("b", "1", 0, None, "false", False) in got
     # forgotten: an old time is news again
-    got = run(spark, tmp_path, [("a", "0", DAY, 7.0)], idle_ms=1)
+    got = run(spark, tmp_path, [("a", "0", DAY, 7.0)], idle_ms=day_ms)
     assert ("a", "0", 0, None, "false", False) in got
