@@ -12,7 +12,7 @@ from foretime.operators import audit, checks, features, live, metrics, models, r
 from foretime.operators.prior import prior_ewm, prior_window
 from foretime.plans import sql_stats as S
 from foretime.plans.proxies import Tables, planned
-from foretime.plans.q_prior import METRICS, games, ratings_of, rolled_of, team_log_of
+from foretime.plans.q_prior import FOLDED, METRICS, ROLLED_FROM, ROLLED_SQL, games, ratings_of, rolled_of, shrink_sql, team_log_of
 from foretime.plans.q_report import long3
 from foretime.plans.q_score import _CLOCK, graded, logged, rounded
 from foretime.plans.registry import query, r6, round6
@@ -268,23 +268,31 @@ def context_of(t: Tables):
     return features.context(games(t), features.home_base(t.schedule()), proxy_venues(t))
 
 
-@query("context_features", """
-WITH base AS (SELECT team, season, stadium_id FROM (SELECT home_team AS team, season, stadium_id,
+_CONTEXT = """
+base AS (SELECT team, season, stadium_id FROM (SELECT home_team AS team, season, stadium_id,
    row_number() OVER (PARTITION BY home_team, season ORDER BY count(*) DESC, stadium_id) AS rn
    FROM schedule WHERE game_type = 'REG' AND location = 'Home' GROUP BY 1, 2, 3) WHERE rn = 1),
- v AS (SELECT DISTINCT stadium_id, 25.0::DOUBLE + CAST(substring(stadium_id, 2) AS INT) * 0.5::DOUBLE AS lat, -120.0::DOUBLE + CAST(substring(stadium_id, 2) AS INT) * 1.2::DOUBLE AS lon FROM schedule),
- j AS (SELECT g.*, radians(gv.lat) AS gla, radians(gv.lon) AS glo, radians(hv.lat) AS hla, radians(hv.lon) AS hlo, radians(av.lat) AS ala, radians(av.lon) AS alo
-  FROM decided_games g LEFT JOIN v gv ON gv.stadium_id = g.stadium_id LEFT JOIN base hb ON hb.team = g.home_team AND hb.season = g.season
-  LEFT JOIN v hv ON hv.stadium_id = hb.stadium_id LEFT JOIN base ab ON ab.team = g.away_team AND ab.season = g.season LEFT JOIN v av ON av.stadium_id = ab.stadium_id),
- k AS (SELECT *, 2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((gla - hla) / 2), 2) + cos(hla) * cos(gla) * pow(sin((glo - hlo) / 2), 2))) AS dh,
-  2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((gla - ala) / 2), 2) + cos(ala) * cos(gla) * pow(sin((glo - alo) / 2), 2))) AS da FROM j)
-SELECT game_id, CASE WHEN location = 'Neutral' THEN 1 ELSE 0 END AS is_neutral, least(greatest(home_rest, 3), 20) - least(greatest(away_rest, 3), 20) AS rest_diff,
- CAST(div_game AS DOUBLE) AS div_game, CASE WHEN roof IN ('dome','closed') THEN 1.0 WHEN roof IN ('outdoors','open') THEN 0.0 END::DOUBLE AS roof_indoor,
- round(dh, 6) AS travel_dist_home, round(da, 6) AS travel_dist_away, round(da - dh, 6) AS travel_diff FROM k""", ("decided_games",))
+venue AS (SELECT DISTINCT stadium_id, 25.0::DOUBLE + CAST(substring(stadium_id, 2) AS INT) * 0.5::DOUBLE AS lat, -120.0::DOUBLE + CAST(substring(stadium_id, 2) AS INT) * 1.2::DOUBLE AS lon,
+   ['America/New_York', 'America/Chicago', 'America/Denver', 'America/Los_Angeles'][CAST(substring(stadium_id, 2) AS INT) % 4 + 1] AS tz FROM schedule),
+places AS (SELECT g.*, radians(gv.lat) AS gla, radians(gv.lon) AS glo, radians(hv.lat) AS hla, radians(hv.lon) AS hlo, radians(av.lat) AS ala, radians(av.lon) AS alo,
+   (epoch_us(kickoff) - epoch_us(timezone('UTC', timezone(hv.tz, kickoff)))) / 3600000000.0::DOUBLE AS tz_home_offset,
+   (epoch_us(kickoff) - epoch_us(timezone('UTC', timezone(av.tz, kickoff)))) / 3600000000.0::DOUBLE AS tz_away_offset
+  FROM decided_games g LEFT JOIN venue gv ON gv.stadium_id = g.stadium_id LEFT JOIN base hb ON hb.team = g.home_team AND hb.season = g.season
+  LEFT JOIN venue hv ON hv.stadium_id = hb.stadium_id LEFT JOIN base ab ON ab.team = g.away_team AND ab.season = g.season LEFT JOIN venue av ON av.stadium_id = ab.stadium_id),
+travel AS (SELECT *, 2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((gla - hla) / 2), 2) + cos(hla) * cos(gla) * pow(sin((glo - hlo) / 2), 2))) AS dh,
+  2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((gla - ala) / 2), 2) + cos(ala) * cos(gla) * pow(sin((glo - alo) / 2), 2))) AS da FROM places),
+facts AS (SELECT game_id, CASE WHEN location = 'Neutral' THEN 1 ELSE 0 END AS is_neutral, least(greatest(home_rest, 3), 20) AS home_rest, least(greatest(away_rest, 3), 20) AS away_rest,
+  least(greatest(home_rest, 3), 20) - least(greatest(away_rest, 3), 20) AS rest_diff, CAST(div_game AS DOUBLE) AS div_game,
+  CASE WHEN roof IN ('dome','closed') THEN 1.0 WHEN roof IN ('outdoors','open') THEN 0.0 END::DOUBLE AS roof_indoor,
+  dh AS travel_dist_home, da AS travel_dist_away, da - dh AS travel_diff, tz_home_offset, tz_away_offset, tz_home_offset - tz_away_offset AS tz_diff FROM travel)
+"""
+
+
+@query("context_features", "WITH " + _CONTEXT + "SELECT game_id, "
+       + ", ".join(f"round({c}, 6) AS {c}" if c.startswith(("travel", "tz")) else c for c in features.CONTEXT) + " FROM facts", ("schedule", "decided_games"))
 def context_features(t):
     """Facts known before the event."""
-    return rounded(context_of(t).select("game_id", "is_neutral", "rest_diff", "div_game", "roof_indoor",
-                                        "travel_dist_home", "travel_dist_away", "travel_diff"), keep=("rest_diff", "div_game", "roof_indoor"))
+    return rounded(context_of(t).select("game_id", *features.CONTEXT), keep=("home_rest", "away_rest", "rest_diff", "div_game", "roof_indoor"))
 
 
 def model_frame(t: Tables):
@@ -293,11 +301,32 @@ def model_frame(t: Tables):
     return features.assemble(rolled_of(t), games(t), context_of(t), r)
 
 
-@query("model_frame_full", None)
+_SIDE = ["games_played_sd", *[f"{m}_{kind}" for m in METRICS for kind in ("shrunk", "ewm")]]
+#: The model frame in SQL: ``frame``, one row per event with all 67 columns.
+FRAME_SQL = FOLDED + ", " + ROLLED_SQL.strip()[5:] + ", " + _CONTEXT.strip() + f""",
+sides AS (SELECT game_id, is_home, games_played_sd, {", ".join(f"{shrink_sql(m)} AS {m}_shrunk, ewm_{m} AS {m}_ewm" for m in METRICS)} {ROLLED_FROM}),
+pair AS (SELECT h.game_id, {", ".join(f"h.{c} AS home_{c}, a.{c} AS away_{c}" for c in _SIDE)} FROM sides h JOIN sides a ON h.game_id = a.game_id AND h.is_home AND NOT a.is_home),
+frame AS (SELECT pair.*, {", ".join(f"{a} - {b} AS {n}" for n, (a, b) in features.MATCHUPS.items())}, facts.* EXCLUDE (game_id),
+  home_pre AS home_elo_pre, away_pre AS away_elo_pre, home_pre - away_pre AS elo_diff, g.season, g.week, g.home_win
+  FROM pair JOIN facts USING (game_id) JOIN f USING (game_id) JOIN decided_games g USING (game_id) WHERE f.n > 0)
+"""
+FRAME_VIEWS = ("schedule", "decided_games", "team_log")
+
+
+@query("model_frame_full", FRAME_SQL + "SELECT game_id, season, week, home_win, "
+       + ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in features.feature_columns()) + " FROM frame", FRAME_VIEWS)
 def model_frame_full(t):
     """The whole frame, 67 model columns, guarded against raw and priced columns."""
     f = model_frame(t)
-    return f.select("game_id", "season", "week", "home_win", *features.feature_columns())
+    return f.select("game_id", "season", "week", "home_win", *[round6(F.col(c).cast("double")).alias(c) for c in features.feature_columns()])
+
+
+@query("frame_correlations", FRAME_SQL + "SELECT unnest([" + ", ".join(
+    f"{{'a': '{a}', 'b': '{b}', 'r': corr({a}, {b})}}" for i, a in enumerate(features.feature_columns()) for b in features.feature_columns()[i + 1:])
+    + "]) AS x FROM frame", FRAME_VIEWS)
+def frame_correlations(t):
+    """All 2,211 pairs of the 67 model columns, pairwise complete, from one pass."""
+    return metrics.correlation_matrix(model_frame(t), features.feature_columns())
 
 
 @query("feature_manifest", "SELECT count(*) * 0 + 67 AS features, 5::BIGINT AS patterns_without_prior FROM orders")

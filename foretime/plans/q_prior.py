@@ -230,7 +230,7 @@ seed AS (SELECT game_id, team, {seeds} FROM team_log WHERE season = (SELECT min(
     seeds=", ".join(f"avg({m}) OVER s AS {m}_s" for m in METRICS))
 
 
-def _shrink_sql(m):
+def shrink_sql(m):
     p = f"coalesce({m}_p, {m}_l, {m}_s)"
     return (f"CASE WHEN n_{m} > 0 OR {p} IS NOT NULL THEN (coalesce(n_{m} * sd_{m}, 0) + coalesce(4.0 * {p}, 0)) / "
             f"(n_{m} + CASE WHEN {p} IS NULL THEN 0 ELSE 4 END) END")
@@ -245,13 +245,13 @@ w AS (SELECT *, count(*) OVER r AS games_played_sd,
              for m in METRICS)}
   FROM pos WINDOW r AS ({_ROLL}), x AS (PARTITION BY team ORDER BY kickoff, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 """
-_ROLLED_FROM = ("FROM w LEFT JOIN own USING (team, season) LEFT JOIN pool USING (season) "
+ROLLED_FROM = ("FROM w LEFT JOIN own USING (team, season) LEFT JOIN pool USING (season) "
                 "LEFT JOIN seed USING (game_id, team)")
 
 
 @query("rolled_features", ROLLED_SQL + "SELECT game_id, team, games_played_sd, "
-       + ", ".join(f"round({_shrink_sql(m)}, 6) AS {m}_shrunk, round(ewm_{m}, 6) AS {m}_ewm, n_{m} AS {m}_sd_n"
-                   for m in METRICS) + " " + _ROLLED_FROM, ("team_log",))
+       + ", ".join(f"round({shrink_sql(m)}, 6) AS {m}_shrunk, round(ewm_{m}, 6) AS {m}_ewm, n_{m} AS {m}_sd_n"
+                   for m in METRICS) + " " + ROLLED_FROM, ("team_log",))
 def rolled_features(t):
     """Every rolled feature of the entity log."""
     d = rolled_of(t)
@@ -260,7 +260,7 @@ def rolled_features(t):
 
 
 @query("matchup_differences", ROLLED_SQL + ", f AS (SELECT game_id, is_home, "
-       + ", ".join(f"{_shrink_sql(m)} AS {m}_shrunk" for m in METRICS) + " " + _ROLLED_FROM + ") SELECT h.game_id, "
+       + ", ".join(f"{shrink_sql(m)} AS {m}_shrunk" for m in METRICS) + " " + ROLLED_FROM + ") SELECT h.game_id, "
        + ", ".join(f"round({a[:4][0]}.{a[5:]} - {b[:4][0]}.{b[5:]}, 6) AS {n}" for n, (a, b) in features.MATCHUPS.items())
        + " FROM f h JOIN f a ON h.game_id = a.game_id AND h.is_home AND NOT a.is_home", ("team_log",))
 def matchup_differences(t):
@@ -289,7 +289,7 @@ def ratings_of(t: Tables):
 _GAIN = """20.0::DOUBLE * ln(abs(m) + 1) * 2.2::DOUBLE / (0.001::DOUBLE * CASE WHEN m > 0 THEN hp - ap ELSE ap - hp END + 2.2::DOUBLE)
   * ((m > 0)::INT - 1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, (ap - hp - 44.72586959078301::DOUBLE) / 400.0::DOUBLE)))"""
 #: Ratings event by event: every pool's n-th event reads and moves two of its entities' ratings.
-_FOLDED = f"""
+FOLDED = f"""
 WITH RECURSIVE e AS (SELECT pool, row_number() OVER (PARTITION BY pool ORDER BY kickoff, game_id) AS n, game_id,
   substr(pool_home, 2)::INT + 1 AS h, substr(pool_away, 2)::INT + 1 AS a, home_score - away_score AS m FROM decided_games WHERE pool_home <> pool_away),
 f AS (SELECT pool, 0::BIGINT AS n, list_transform(range(20), lambda x: 1500.0::DOUBLE) AS r, NULL::BIGINT AS game_id, NULL::DOUBLE AS home_pre, NULL::DOUBLE AS away_pre
@@ -300,14 +300,14 @@ f AS (SELECT pool, 0::BIGINT AS n, list_transform(range(20), lambda x: 1500.0::D
 """
 
 
-@query("rating_fold_by_pool", _FOLDED + "SELECT game_id, pool, round(home_pre, 6) AS home_pre, round(away_pre, 6) AS away_pre FROM f WHERE n > 0", ("decided_games",))
+@query("rating_fold_by_pool", FOLDED + "SELECT game_id, pool, round(home_pre, 6) AS home_pre, round(away_pre, 6) AS away_pre FROM f WHERE n > 0", ("decided_games",))
 def rating_fold_by_pool(t):
     """Ratings before each event, folded in time order inside each pool."""
     _, r = ratings_of(t)
     return r.select("game_id", "pool", *r6("home_pre", "away_pre"))
 
 
-@query("rating_chain_audit", _FOLDED + f""", t AS (SELECT f.pool, f.n, h, a, m, home_pre + CASE WHEN f.game_id % 97 = 0 THEN 1 ELSE 0 END AS hp, away_pre AS ap FROM f JOIN e USING (pool, n)),
+@query("rating_chain_audit", FOLDED + f""", t AS (SELECT f.pool, f.n, h, a, m, home_pre + CASE WHEN f.game_id % 97 = 0 THEN 1 ELSE 0 END AS hp, away_pre AS ap FROM f JOIN e USING (pool, n)),
 u AS (SELECT *, {_GAIN} AS gain FROM t),
 s AS (SELECT pool, n, h AS x, hp AS pre, hp + gain AS post FROM u UNION ALL SELECT pool, n, a, ap, ap - gain FROM u),
 c AS (SELECT abs(pre - coalesce(lag(post) OVER (PARTITION BY pool, x ORDER BY n), 1500.0::DOUBLE)) > 1e-9 AS off FROM s)
@@ -322,7 +322,7 @@ def rating_chain_audit(t):
                  F.count_if(F.abs(F.col("pre") - F.col("expected")) > 1e-9).alias("mismatches"))
 
 
-@query("rating_for_open_events", _FOLDED + """, played AS (SELECT DISTINCT pool, x AS entity FROM (SELECT pool, unnest([pool_home, pool_away]) AS x FROM decided_games WHERE pool_home <> pool_away)),
+@query("rating_for_open_events", FOLDED + """, played AS (SELECT DISTINCT pool, x AS entity FROM (SELECT pool, unnest([pool_home, pool_away]) AS x FROM decided_games WHERE pool_home <> pool_away)),
 last AS (SELECT pool, r FROM f QUALIFY row_number() OVER (PARTITION BY pool ORDER BY n DESC) = 1)
 SELECT pool, entity, round(r[substr(entity, 2)::INT + 1], 6) AS rating FROM played JOIN last USING (pool)""", ("decided_games",))
 def rating_for_open_events(t):
