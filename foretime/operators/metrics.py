@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,14 +148,95 @@ def summary(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     return base.join(q, by, "left")
 
 
+class CoMoments:
+    """Pairwise-complete co-moments of some columns with some others: counts, means of each side over the
+    rows that have both, and centred sums of squares and products. Two of them merge exactly."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        mx, my = (~np.isnan(v) for v in (x, y))
+        wx, wy = mx.astype(np.float64), my.astype(np.float64)
+        # shifted to the columns' own means, so that little is lost when products are centred
+        cx, cy = (np.where(m.any(axis=0), np.nansum(v, axis=0) / np.maximum(m.sum(axis=0), 1), 0.0) for v, m in ((x, mx), (y, my)))
+        x, y = np.where(mx, x - cx, 0.0), np.where(my, y - cy, 0.0)
+        self.n = wx.T @ wy
+        d = np.maximum(self.n, 1.0)
+        sx, sy = x.T @ wy, wx.T @ y
+        self.ax, self.ay = cx[:, None] + sx / d, cy[None, :] + sy / d
+        self.vx, self.vy = (x * x).T @ wy - sx * sx / d, wx.T @ (y * y) - sy * sy / d
+        self.c = x.T @ y - sx * sy / d
+
+    PARTS = ("n", "ax", "ay", "vx", "vy", "c")
+
+    def to_bytes(self) -> bytes:
+        return np.stack([getattr(self, p) for p in self.PARTS]).tobytes()
+
+    @classmethod
+    def from_bytes(cls, data, shape: tuple[int, int]) -> "CoMoments":
+        out = cls.__new__(cls)
+        for p, v in zip(cls.PARTS, np.frombuffer(data).reshape(len(cls.PARTS), *shape), strict=True):
+            setattr(out, p, v.copy())
+        return out
+
+    def merge(self, o: "CoMoments") -> "CoMoments":
+        n = self.n + o.n
+        d = np.maximum(n, 1.0)
+        dx, dy, w = o.ax - self.ax, o.ay - self.ay, self.n * o.n / d
+        self.vx, self.vy, self.c = self.vx + o.vx + dx * dx * w, self.vy + o.vy + dy * dy * w, self.c + o.c + dx * dy * w
+        self.ax, self.ay, self.n = self.ax + dx * o.n / d, self.ay + dy * o.n / d, n
+        return self
+
+    def correlation(self) -> np.ndarray:
+        """NaN where fewer than two rows have both columns, or one of them doesn't vary there."""
+        with np.errstate(invalid="ignore", divide="ignore"):
+            flat = (self.vx <= 1e-24 * (1 + self.ax ** 2) * self.n) | (self.vy <= 1e-24 * (1 + self.ay ** 2) * self.n)
+            return np.where((self.n < 2) | flat, np.nan, np.clip(self.c / np.sqrt(self.vx * self.vy), -1.0, 1.0))
+
+
+#: Columns of one side of a block of the matrix.
+BLOCK_COLUMNS = 128
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, n, r): Pearson correlation of every column pair over the ``n`` rows that have both.
+
+    One pass: a task turns its rows into co-moments by matrix products, block of columns by block,
+    and blocks are merged by a grouped aggregate whose size is that of the matrix, not of the table.
+    """
+    columns = list(columns)
+    starts = range(0, len(columns), BLOCK_COLUMNS)
+    width = lambda i: min(BLOCK_COLUMNS, len(columns) - i)
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], CoMoments] = {}
+        for b in batches:
+            m = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(columns))
+            for i in starts:
+                for j in starts:
+                    if i <= j and len(m):
+                        part = CoMoments(m[:, i:i + width(i)], m[:, j:j + width(j)])
+                        held[i, j] = held[i, j].merge(part) if (i, j) in held else part
+        for (i, j), part in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([j]), pa.array([part.to_bytes()], pa.binary())], names=["i", "j", "part"])
+
+    def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = (k.as_py() for k in key)
+        total = None
+        for b in batches:
+            for data in b.column("part"):
+                part = CoMoments.from_bytes(data.as_buffer(), (width(i), width(j)))
+                total = part if total is None else total.merge(part)
+        r, at = total.correlation(), [(x, y) for x in range(width(i)) for y in range(width(j)) if i + x < j + y]
+        yield pa.RecordBatch.from_pydict({
+            "a": [columns[i + x] for x, _ in at], "b": [columns[j + y] for _, y in at],
+            "n": pa.array([int(total.n[p]) for p in at], pa.int64()), "r": pa.array([None if np.isnan(r[p]) else float(r[p]) for p in at], pa.float64())})
+
+    return rows.mapInArrow(partial, "i long, j long, part binary").groupBy("i", "j").applyInArrow(merged, "a string, b string, n long, r double")
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair in one pass, pairwise complete."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    row = df.agg(*[F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
-                   .alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r"))
-             for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    """(a, b, r) of ``correlation_matrix``."""
+    return correlation_matrix(df, columns).select("a", "b", "r")
 
 
 def null_shares(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretime.functions import fixed, market as m
@@ -321,12 +321,49 @@ def model_frame_full(t):
     return f.select("game_id", "season", "week", "home_win", *[round6(F.col(c).cast("double")).alias(c) for c in features.feature_columns()])
 
 
-@query("frame_correlations", FRAME_SQL + "SELECT unnest([" + ", ".join(
-    f"{{'a': '{a}', 'b': '{b}', 'r': corr({a}, {b})}}" for i, a in enumerate(features.feature_columns()) for b in features.feature_columns()[i + 1:])
-    + "]) AS x FROM frame", FRAME_VIEWS)
+@query("frame_correlations", FRAME_SQL + ", c AS (SELECT unnest([" + ", ".join(
+    f"{{'a': '{a}', 'b': '{b}', 'n': count(CASE WHEN {b} IS NOT NULL THEN {a} END), 'r': corr({a}, {b})}}"
+    for i, a in enumerate(features.feature_columns()) for b in features.feature_columns()[i + 1:])
+    + "]) AS x FROM frame) SELECT x.a AS a, x.b AS b, x.n AS n, round(CASE WHEN isnan(x.r) THEN NULL ELSE x.r END, 6) AS r FROM c", FRAME_VIEWS)
 def frame_correlations(t):
     """All 2,211 pairs of the 67 model columns, pairwise complete, from one pass."""
-    return metrics.correlation_matrix(model_frame(t), features.feature_columns())
+    return rounded(metrics.correlation_matrix(model_frame(t), features.feature_columns()))
+
+
+_LABELLED = [*features.feature_columns(), "home_win"]
+
+
+def _cells(names, pairs):
+    """Correlations of ``pairs`` of columns of ``frame``, as rows x.a, x.b, x.r."""
+    return "SELECT unnest([" + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': corr({a}, {b})}}" for a, b in pairs) + "]) AS x FROM frame"
+
+
+_EVERY_PAIR = [(a, b) for i, a in enumerate(_LABELLED) for b in _LABELLED[i + 1:]]
+
+
+def label_weights(pairs):
+    """Correlation with the label as a feature's weight, and its rank by size."""
+    w = pairs.where("b = 'home_win'").select(F.col("a").alias("feature"), F.col("r").alias("coef"))
+    # one row per feature
+    return w.withColumn("avg_rank", F.rank().over(Window.orderBy(F.desc_nulls_last(F.round(F.abs("coef"), 9)))).cast("double"))
+
+
+@query("redundant_features", FRAME_SQL + ", cell AS (" + _cells(_LABELLED, _EVERY_PAIR) + """), cors AS (SELECT x.a AS a, x.b AS b, x.r AS r FROM cell),
+placed AS (SELECT a AS feature, r AS coef, rank() OVER (ORDER BY round(abs(r), 9) DESC NULLS LAST) AS place FROM cors WHERE b = 'home_win'),
+coupled AS (SELECT a, b, cors.r, u.coef AS ca, v.coef AS cb, (u.place, a) > (v.place, b) AS a_is_worse FROM cors JOIN placed u ON u.feature = a JOIN placed v ON v.feature = b)
+SELECT feature, round(coef, 6) AS coef, place::BIGINT AS place,
+  feature IN (SELECT CASE WHEN a_is_worse THEN a ELSE b END FROM coupled WHERE abs(r) >= 0.8) AS dropped,
+  (SELECT count(*) FROM coupled WHERE feature IN (a, b) AND abs(r) > 0.5 AND ca * cb < 0) AS opposed FROM placed""", FRAME_VIEWS)
+def redundant_features(t):
+    """Per model column its correlation with the label, whether a better ranked column that moves
+    with it makes it redundant, and with how many columns it moves together but points the other way."""
+    pairs = written(metrics.correlation_matrix(model_frame(t), _LABELLED))
+    w = written(label_weights(pairs))
+    drop = models.redundant(pairs, w, 0.8).withColumn("dropped", F.lit(True))
+    odd = models.opposed_pairs(pairs, w).select(F.explode(F.array("a", "b")).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("opposed"))
+    d = w.join(drop, "feature", "left").join(odd, "feature", "left")
+    return d.select("feature", round6("coef").alias("coef"), F.col("avg_rank").cast("long").alias("place"), F.coalesce("dropped", F.lit(False)).alias("dropped"),
+                    F.coalesce("opposed", F.lit(0)).alias("opposed"))
 
 
 @query("feature_manifest", "SELECT count(*) * 0 + 67 AS features, 5::BIGINT AS patterns_without_prior FROM orders")
@@ -500,7 +537,7 @@ def feature_pruning(t):
     a = models.logistic(1.0)(train, FEATURES, "home_win")
     b = models.forest(10, 4)(train, FEATURES, "home_win")
     ranks = models.average_rank([models.coefficients(t.spark, x, FEATURES) for x in (a, b)])
-    drop = models.redundant(train, ranks, FEATURES, 0.05)
+    drop = models.redundant(metrics.correlation_matrix(train, FEATURES), ranks, 0.05)
     return ranks.join(drop.withColumn("dropped", F.lit(True)), "feature", "left").fillna(False)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foretime.functions import fixed, market as m, stats
 from foretime.operators import metrics, scorecard, tables
 from foretime.plans import sql_stats as S
-from foretime.plans.q_prior import games
+from foretime.plans.q_prior import METRICS, games
 from foretime.plans.q_score import _CLOCK, graded, logged, long_eval, rounded
 from foretime.plans.proxies import planned
 from foretime.plans.registry import query, r6, round6
@@ -147,7 +147,7 @@ def edge_top_quantiles(t):
     return rounded(metrics.exact_quantiles(edges(t), "edge", (0.75, 0.9)))
 
 
-_CORR = ("qb_epa_per_db", "qb_success_rate", "sack_rate", "def_epa_per_play", "def_pressure_rate")
+_CORR = METRICS
 
 
 @query("correlation_pairs", " UNION ALL ".join(
