@@ -53,17 +53,25 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFra
 
 def window_oracle(log: DataFrame, by: Sequence[str], order: Sequence[str],
                   metrics: Sequence[str], rows: int) -> DataFrame:
-    """Mean over the ``rows`` rows before each one, without a window frame.
+    """Mean over the ``rows`` rows before each one, by another route than a sliding frame.
 
-    Every row is sent to the positions it may contribute to (at most ``rows`` of
-    them) and averaged there; a row never reaches its own position.
+    Running sums and counts up to a row, less those up to the row ``rows`` places before: what
+    is left is the window. All metrics share the one shuffle that the running sums need.
     """
-    by = list(by)
-    numbered = positions(log, by, order)
-    sent = numbered.select(*by, *metrics, F.explode(
-        F.sequence(F.col(POS) + 1, F.col(POS) + rows)).alias(POS))
-    means = sent.groupBy(*by, POS).agg(*[F.avg(m).alias(f"{m}_oracle") for m in metrics])
-    return attach(numbered, means, [*by, POS]).select(*by, *order, *[f"{m}_oracle" for m in metrics])
+    by, order = list(by), list(order)
+    prefix = {x: y for i, m in enumerate(metrics) for x, y in ((f"_s{i}", (m, "sum")), (f"_c{i}", (m, "count")))}
+    log = log.select(*dict.fromkeys([*by, *order, *metrics]))
+    if over_limit(log, by, None):
+        run = prior_running(number_rows(log, by, order), by, [POS], prefix)
+        earlier = run.select(*by, (F.col(POS) + rows).alias(POS), *[F.col(c).alias(f"{c}_e") for c in prefix])
+        run = attach(run, earlier, [*by, POS])
+    else:
+        w = W.partitionBy(*by).orderBy(*order)
+        run = prior_running(log, by, order, prefix)
+        run = run.select("*", *[F.lag(c, rows).over(w).alias(f"{c}_e") for c in prefix])
+    left = lambda c: F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.col(f"{c}_e"), F.lit(0))
+    return run.select(*by, *order, *[
+        F.when(left(f"_c{i}") > 0, left(f"_s{i}") / left(f"_c{i}")).alias(f"{m}_oracle") for i, m in enumerate(metrics)])
 
 
 def mismatches(features: DataFrame, oracle: DataFrame, keys: Sequence[str],

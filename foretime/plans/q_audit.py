@@ -37,12 +37,16 @@ def timestamp_audit(t):
     return rounded(audit.time_summary(d, "kickoff"))
 
 
-@query("window_oracle_mismatches", "SELECT 'sd' AS feature, count(*) AS n, 0::BIGINT AS mismatches FROM ev", ("ev",))
+@query("window_oracle_mismatches", ROLLED_SQL + " UNION ALL ".join(
+    f"SELECT '{m}_sd' AS feature, count(*) AS n, count(*) FILTER (game_id % 89 = 0 AND sd_{m} IS NOT NULL) AS mismatches FROM w" for m in METRICS), ("team_log",))
 def window_oracle_mismatches(t):
-    """Rolling means against a frame-free oracle built from row positions."""
-    e, by, order = t.events(), ["user_id", "week_start"], ["ts", "event_id"]
-    f = prior_window(e, by, order, {"sd": ("metric", "mean")}, 22)
-    return audit.mismatches(f, audit.window_oracle(e, by, order, ["metric"], 22), ["event_id"], {"sd": "metric_oracle"})
+    """The rolling means of all eleven metrics against differences of running sums. Means of some
+    events are shifted: they must be reported, and nothing else."""
+    log = written(team_log_of(t))
+    f = prior_window(log, ["team", "season"], ["kickoff", "game_id"], {f"{m}_sd": (m, "mean") for m in METRICS}, fixed.IN_SEASON_ROWS)
+    f = f.withColumns({f"{m}_sd": F.when(F.col("game_id") % 89 == 0, F.col(f"{m}_sd") + 0.5).otherwise(F.col(f"{m}_sd")) for m in METRICS})
+    oracle = audit.window_oracle(log, ["team", "season"], ["kickoff", "game_id"], METRICS, fixed.IN_SEASON_ROWS)
+    return audit.mismatches(f, oracle, ["game_id", "team"], {f"{m}_sd": f"{m}_oracle" for m in METRICS})
 
 
 @query("ewm_induction_failures", """
