@@ -105,3 +105,7 @@ MIN_LINE_GAP_HOURS = 6
 ALPHA = 0.05
 LOSS_MARGIN = 0.010
 CHECKPOINT_WEEKS = (4, 9)
+
+# Bands of the mean accuracy on shuffled labels, and the most that a fit to the real ones may reach.
+SHUFFLE_EDGES = (0.45, 0.47, 0.53, 0.55)
+MOST_CONTRAST = 0.70

@@ -520,13 +520,6 @@ def forest_and_boosting(t):
     return models.comparison(metrics.model_metrics(long), base)
 
 
-@query("label_shuffle_accuracy", None)
-def label_shuffle_accuracy(t):
-    """Models fitted to shuffled labels should know nothing."""
-    f = small_frame(t)
-    return models.label_shuffle(f, "season < 2000", "season = 2000", FEATURES, "home_win", models.logistic(1.0, balanced=True), range(2))
-
-
 @query("ablation_report", None)
 def ablation_report(t):
     """I7."""
@@ -545,14 +538,6 @@ def feature_pruning(t):
     return ranks.join(drop.withColumn("dropped", F.lit(True)), "feature", "left").fillna(False)
 
 
-@query("permutation_importance", None)
-def permutation_importance(t):
-    """J10."""
-    f = small_frame(t)
-    model = models.logistic(1.0)(f.where("season < 2000"), FEATURES, "home_win")
-    return models.permutation_importance(model, f.where("season = 2000"), FEATURES[:2], "home_win", repeats=2)
-
-
 @query("rotating_holdout", None)
 def rotating_holdout(t):
     """With and without a feature over rotating seasons."""
