@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretime.functions import fixed
-from foretime.operators.features import rolled
+from foretime.operators.features import assemble, rolled
 from foretime.operators.sides import to_sides
 from foretime.operators.team_log import METRICS
 
@@ -44,6 +44,20 @@ def as_if_next(log: DataFrame, open_events: DataFrame, metrics: Sequence[str] =
         features.select("team", "season", *state), ["team", "season"])
 
 
+def unplayed_frame(log: DataFrame, unplayed: DataFrame, facts: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Every model column of every open event, without a label: one pass for all open weeks.
+
+    ``facts`` is the context of the open events, ``ratings`` theirs before each of them.
+    """
+    rows = as_if_next(log, unplayed)
+    return assemble(rows, unplayed.withColumn("home_win", F.lit(None).cast("double")), facts, ratings)
+
+
+def without_result(events: DataFrame) -> DataFrame:
+    """Events as they stand before the start: whatever score they carry is no result."""
+    return events.withColumns({c: F.lit(None).cast("double") for c in ("home_score", "away_score")})
+
+
 def live_frame(played: DataFrame, unplayed: DataFrame) -> DataFrame:
     """Played and open rows under one schema; open rows carry no label."""
     out = played.withColumn("is_played", F.lit(True)).unionByName(

@@ -383,6 +383,64 @@ def open_events(t: Tables):
     return t.schedule().where("game_type = 'REG' AND season = 2001 AND home_score IS NULL")
 
 
+_RATED = ("game_id", "kickoff", "pool", "pool_home", "pool_away", "home_score", "away_score")
+
+
+def open_frame(t: Tables, placeholder=None, masked: bool = True) -> DataFrame:
+    """The model frame of the open events. ``placeholder`` scores stand in for their results; a build that
+    doesn't mask them lets them into the ratings."""
+    opened = open_events(t)
+    if placeholder is not None:
+        opened = opened.withColumns({"home_score": F.lit(placeholder[0]).cast("double"), "away_score": F.lit(placeholder[1]).cast("double")})
+    rated = live.without_result(opened) if masked else opened
+    both = games(t).select(*_RATED).unionByName(rated.select(*_RATED)).where("pool_home <> pool_away")
+    r = rating.rating_fold(both, ["pool"], "kickoff", "game_id", "pool_home", "pool_away", "home_score", "away_score")
+    facts = features.context(opened, features.home_base(t.schedule()), proxy_venues(t))
+    return live.unplayed_frame(written(team_log_of(t)), opened, facts, r)
+
+
+#: The frame of the open events in SQL: one more row per team, without metrics, behind its last one.
+OPEN_SQL = (FOLDED + """, opens AS (SELECT * FROM schedule WHERE game_type = 'REG' AND season = 2001 AND home_score IS NULL),
+open_rows AS (SELECT game_id, true AS is_home, home_team AS team, season, kickoff FROM opens UNION ALL SELECT game_id, false, away_team, season, kickoff FROM opens),
+log_open AS (SELECT *, false AS ahead FROM team_log UNION ALL BY NAME SELECT *, true AS ahead FROM open_rows QUALIFY row_number() OVER (PARTITION BY team, season ORDER BY kickoff, game_id) = 1),
+""" + ROLLED_SQL.strip()[5:].replace("team_log", "log_open") + ", " + _CONTEXT.strip().replace("decided_games", "opens") + f""",
+state AS (SELECT team, games_played_sd, {", ".join(f"{shrink_sql(m)} AS {m}_shrunk, ewm_{m} AS {m}_ewm" for m in METRICS)} {ROLLED_FROM} WHERE ahead),
+pair AS (SELECT h.game_id, {", ".join(f"hs.{c} AS home_{c}, s.{c} AS away_{c}" for c in _SIDE)} FROM open_rows h JOIN open_rows a ON h.game_id = a.game_id AND h.is_home AND NOT a.is_home
+  JOIN state hs ON hs.team = h.team JOIN state s ON s.team = a.team),
+held AS (SELECT pool, r FROM f QUALIFY row_number() OVER (PARTITION BY pool ORDER BY n DESC) = 1),
+rated AS (SELECT game_id, coalesce(r[substr(pool_home, 2)::INT + 1], 1500.0) AS home_pre, coalesce(r[substr(pool_away, 2)::INT + 1], 1500.0) AS away_pre
+  FROM opens LEFT JOIN held USING (pool) WHERE pool_home <> pool_away),
+frame AS (SELECT pair.*, {", ".join(f"{a} - {b} AS {n}" for n, (a, b) in features.MATCHUPS.items())}, facts.* EXCLUDE (game_id),
+  home_pre AS home_elo_pre, away_pre AS away_elo_pre, home_pre - away_pre AS elo_diff, opens.season, opens.week
+  FROM pair JOIN facts USING (game_id) JOIN rated USING (game_id) JOIN opens USING (game_id))
+""")
+
+
+@query("open_model_frame", OPEN_SQL + "SELECT game_id, season, week, " + ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in features.feature_columns()) + " FROM frame", FRAME_VIEWS)
+def open_model_frame(t):
+    """H1, H2, H5: all 67 columns of every open event, all open weeks in one pass."""
+    f = open_frame(t)
+    return f.select("game_id", "season", "week", *[round6(F.col(c).cast("double")).alias(c) for c in features.feature_columns()])
+
+
+@query("open_frame_invariance", """
+WITH o AS (SELECT game_id, kickoff, pool, pool_home AS x, true AS home FROM schedule WHERE game_type = 'REG' AND season = 2001 AND home_score IS NULL AND pool_home <> pool_away
+   UNION ALL SELECT game_id, kickoff, pool, pool_away, false FROM schedule WHERE game_type = 'REG' AND season = 2001 AND home_score IS NULL AND pool_home <> pool_away),
+ q AS (SELECT game_id, home, row_number() OVER (PARTITION BY pool, x ORDER BY kickoff, game_id) > 1 AS moved FROM o)
+SELECT build, c AS "column", CASE WHEN build = 'masked' THEN 0 WHEN c = 'home_elo_pre' THEN count(DISTINCT game_id) FILTER (home AND moved)
+  WHEN c = 'away_elo_pre' THEN count(DISTINCT game_id) FILTER (NOT home AND moved) WHEN c = 'elo_diff' THEN count(DISTINCT game_id) FILTER (moved) ELSE 0 END AS mismatches
+FROM q, (SELECT unnest(['masked', 'unmasked']) AS build), (SELECT unnest([""" + ", ".join(f"'{c}'" for c in features.feature_columns()) + """]) AS c) GROUP BY build, c""", ("schedule",))
+def open_frame_invariance(t):
+    """H3: two opposite placeholder results give the same open rows, in all 67 columns; a build that doesn't
+    mask them is reported in the rating columns, row by row."""
+    rows = []
+    for name, masked in (("masked", True), ("unmasked", False)):
+        a, b = (open_frame(t, p, masked).select("game_id", *features.feature_columns()) for p in ((21.0, 20.0), (20.0, 21.0)))
+        d = audit.table_diff(a, b, ["game_id"])
+        rows.append(d.select(F.lit(name).alias("build"), "column", "mismatches"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("open_event_features", f"""
 WITH rows AS (SELECT game_id, home_team AS team, season, kickoff FROM schedule WHERE game_type = 'REG' AND season = 2001 AND home_score IS NULL
    UNION ALL SELECT game_id, away_team, season, kickoff FROM schedule WHERE game_type = 'REG' AND season = 2001 AND home_score IS NULL),
