@@ -42,6 +42,20 @@ def latest(snapshots: DataFrame) -> DataFrame:
     return snapshots.join(newest, ["season", "pulled_at"], "left_semi")
 
 
+def newest_names(spark: SparkSession, base: str) -> dict[int, str]:
+    """Season -> name of its newest snapshot, from the names of the stored files alone: no row is read."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), _NAME, 0)
+    files = spark.read.parquet(f"{base}/schedules_*.parquet").select(name.alias("name"), F.regexp_extract(F.col("_metadata.file_path"), _NAME, 1).cast("int").alias("season"))
+    # one row per season
+    return {r["season"]: r["name"] for r in files.groupBy("season").agg(F.max("name").alias("name")).collect()}
+
+
+def read_newest(spark: SparkSession, base: str) -> DataFrame:
+    """Rows of each season's newest snapshot; files of older ones are pruned by their names."""
+    names = sorted(newest_names(spark, base).values())
+    return read_snapshots(spark, base).where(F.regexp_extract(F.col("_metadata.file_path"), _NAME, 0).isin(names))
+
+
 def publish_once(df: DataFrame, base: str, season: int, week: int) -> str:
     """Write a week's result; a week that exists is refused."""
     path = f"{base}/season={season}/week={week}"
