@@ -116,15 +116,16 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: st
     for value in (True, False):
         part = rows.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = with_text(docs, text).select(F.col(doc_id).alias("d"), F.col(text).alias("text"))
+    # the order of the sample is the rows' own, whatever the partitions: the fit depends on it
+    texts = with_text(docs, text).select(F.col(doc_id).alias("d"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("place"), F.xxhash64(text).alias("tie"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [np.unique(np.array([f for w in set(low_words(t)) for f in features_of(w)], np.int32)).tobytes() for t, in rows_of([b], "text")]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(out, pa.binary())], names=["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("toxic", "place", "tie")), pa.array(out, pa.binary())], names=["toxic", "place", "tie", "features"])
 
-    got = (texts.join(chosen, F.col("d") == F.col("id")).select("toxic", "text").where(F.col("text").isNotNull())
-           .mapInArrow(featured, "toxic boolean, features binary").limit(2 * fit_rows).collect())
+    got = (texts.join(chosen, F.col("d") == F.col("id")).select("toxic", "place", "tie", "text").where(F.col("text").isNotNull())
+           .mapInArrow(featured, "toxic boolean, place long, tie long, features binary").orderBy("place", "tie", "features").limit(2 * fit_rows).collect())
     toxic = np.array([r.toxic for r in got], bool)
     n = {v: max(1, (toxic == v).sum()) for v in (True, False)}
     weight = {v: shares.get(v, 0) / n[v] for v in n}
