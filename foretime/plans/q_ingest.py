@@ -10,7 +10,7 @@ from foretime.functions.scalar import recode
 from foretime.operators.schedule import seasons_only
 from foretime.plans.q_score import logged
 from foretime.plans.registry import query, round6
-from foretime.sources.document import export_pages
+from foretime.sources.document import export_pages, nested_documents
 from foretime.sources.seasons import inventory
 from foretime.sources.snapshots import predicted_ids
 from foretime.sources.tables import normalise
@@ -74,6 +74,29 @@ def export_documents(t):
     return d.select("season", "page", "n", F.get_json_object("document", "$.games[0].game_id").alias("first_game"))
 
 
+def _object(*pairs: tuple[str, str]) -> str:
+    """JSON object in SQL, without what is missing: (name, text of the value)."""
+    return "'{' || concat_ws(',', " + ", ".join(f"CASE WHEN ({v}) IS NOT NULL THEN '\"{k}\":' || {v} END" for k, v in pairs) + ") || '}'"
+
+
+def _text(c: str) -> str:
+    return f"'\"' || {c} || '\"'"
+
+
+@query("week_documents", f"""
+WITH l AS (SELECT game_id, '[' || string_agg({_object(("away_moneyline", "away_moneyline::VARCHAR"), ("home_moneyline", "home_moneyline::VARCHAR"), ("pulled", _text("strftime(pulled_at, '%Y-%m-%dT%H:%M:%SZ')")))},
+   ',' ORDER BY pulled_at) || ']' AS lines FROM quotes WHERE game_id % 3 <> 0 GROUP BY 1),
+ g AS (SELECT season, week, '[' || string_agg({_object(("away_score", "away_score::VARCHAR"), ("away_team", _text("away_team")), ("game_id", "s.game_id::VARCHAR"), ("home_score", "home_score::VARCHAR"),
+   ("home_team", _text("home_team")), ("lines", "lines"), ("spread_line", "spread_line::VARCHAR"))}, ',' ORDER BY kickoff, s.game_id) || ']' AS games FROM schedule s LEFT JOIN l USING (game_id) GROUP BY 1, 2)
+SELECT season, week, length(d) AS characters, md5(d) AS digest FROM (SELECT season, week, {_object(("games", "games"), ("season", "season::VARCHAR"), ("week", "week::VARCHAR"))} AS d FROM g)""", ("schedule", "quotes"))
+def week_documents(t):
+    """Whole nested documents (week, its games in order, their prices in order), compared by digest."""
+    quotes = t.quotes().where("game_id % 3 <> 0").withColumn("pulled", F.date_format("pulled_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    d = nested_documents(t.schedule(), ["season", "week"], ["kickoff", "game_id"], ["game_id", "home_team", "away_team", "home_score", "away_score", "spread_line"], "games",
+                         quotes, "game_id", ["pulled_at"], ["pulled", "home_moneyline", "away_moneyline"], "lines")
+    return d.select("season", "week", F.length("document").cast("long").alias("characters"), F.md5(F.col("document").cast("binary")).alias("digest"))
+
+
 @query("late_tolerant_event_counts", "SELECT user_id, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def late_tolerant_event_counts(t):
     """G1, G4, H13 (batch side): a table delivered twice is counted once."""
