@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretime.functions import market as m, stats
+from foretime.operators.checks import join_one_to_one
 
 
 def current_week(schedule: DataFrame, keys: Sequence[str] = ("season",), last_week: int = 18) -> DataFrame:
@@ -69,12 +70,28 @@ def result_rows(games: DataFrame, model: str, p: str) -> DataFrame:
         F.when(bet, F.col("_set.units")).alias("bet_units"), F.col("_set.bet_outcome").alias("bet_outcome"))
 
 
+def with_grades(predictions: DataFrame, graded: DataFrame, key: str = "game_id") -> DataFrame:
+    """Every prediction with what its grading says; an ungraded one is ``pending``. Units count only for
+    settled bets. Two grades of one prediction are refused."""
+    g = graded.select(key, "result", "correct", "bet_outcome", "units")
+    d = join_one_to_one(predictions.drop("result", "correct", "bet_outcome", "units"), g, [key], "left")
+    bet = F.col("paper_bet").isin("home", "away")
+    result = F.coalesce("result", F.lit("pending"))
+    settled = bet & result.isin("home", "away", "tie")
+    return d.withColumns({"result": result, "bet": bet, "bet_outcome": F.when(settled, F.col("bet_outcome")), "units": F.when(settled, F.col("units"))})
+
+
 def edge_histogram(edges: DataFrame, first: int = 4, last: int = 20) -> DataFrame:
-    """Whole-point bins of the positive edge, the first and last open-ended; only qualifying edges."""
+    """Whole-point bins of the positive edge, the first and last open-ended; only qualifying edges.
+
+    Every bin comes out, empty ones with 0, with its share of all events, qualifying or not.
+    """
     points = F.col("edge") * 100
-    q = edges.where(m.qualifies("edge")).select(F.when(points < first + 1, F.lit(first)).otherwise(
-        F.least(F.floor(points), F.lit(last))).cast("int").alias("bin"))
-    return q.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    bin = F.when(points < first + 1, F.lit(first)).otherwise(F.least(F.floor(points), F.lit(last)))
+    held = F.when(m.qualifies("edge"), bin).cast("int")
+    row = edges.agg(F.count(F.lit(1)).alias("of"), *[F.count_if(held == b).alias(f"b{b}") for b in range(first, last + 1)])
+    cells = [F.struct(F.lit(b).alias("bin"), F.col(f"b{b}").alias("n"), F.try_divide(F.col(f"b{b}"), F.col("of")).alias("share")) for b in range(first, last + 1)]
+    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
 def cutoff_shares(edges: DataFrame, first: int = 4, last: int = 18) -> DataFrame:

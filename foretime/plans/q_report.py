@@ -127,10 +127,23 @@ view("edges", "SELECT game_id, greatest(edge_home, edge_away) AS edge FROM logge
 
 
 @query("edge_histogram", """
-SELECT CAST(CASE WHEN edge * 100 < 5 THEN 4 ELSE least(floor(edge * 100), 20) END AS INTEGER) AS bin, count(*) AS n FROM edges WHERE round(edge, 10) >= 0.04::DOUBLE GROUP BY 1""", ("edges",))
+WITH b AS (SELECT CASE WHEN round(edge, 10) >= 0.04::DOUBLE THEN CASE WHEN edge * 100 < 5 THEN 4 ELSE least(floor(edge * 100), 20) END END::INT AS bin FROM edges)
+SELECT r.bin::INT AS bin, count(b.bin) AS n, round(count(b.bin)::DOUBLE / (SELECT count(*) FROM b), 6) AS share FROM range(4, 21) r(bin) LEFT JOIN b ON b.bin = r.bin GROUP BY 1""", ("edges",))
 def edge_histogram(t):
-    """D25."""
-    return tables.edge_histogram(edges(t))
+    """Every bin, empty ones too, with its share of all events."""
+    return rounded(tables.edge_histogram(edges(t)))
+
+
+@query("predictions_with_grades", """
+WITH g AS (SELECT * FROM graded WHERE model = 'champion' AND game_id % 7 <> 0)
+SELECT l.game_id, l.season, l.week, l.paper_bet IN ('home', 'away') AS bet, coalesce(g.result, 'pending') AS result, g.correct, CASE WHEN l.paper_bet IN ('home', 'away') AND g.result IN ('home', 'away', 'tie') THEN g.bet_outcome END AS bet_outcome,
+ round(CASE WHEN l.paper_bet IN ('home', 'away') AND g.result IN ('home', 'away', 'tie') THEN g.units END, 6) AS units
+FROM logged l LEFT JOIN g USING (game_id) WHERE l.model = 'champion'""", ("logged", "graded"))
+def predictions_with_grades(t):
+    """C17: all predictions with their grades; those without one are pending."""
+    g = graded(t).where("model = 'champion' AND game_id % 7 <> 0")
+    d = tables.with_grades(logged(t).where("model = 'champion'"), g)
+    return rounded(d.select("game_id", "season", "week", "bet", "result", "correct", "bet_outcome", "units"), keep=("correct",))
 
 
 @query("edge_cutoff_shares", """
