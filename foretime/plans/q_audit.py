@@ -101,21 +101,15 @@ def negative_control_gate(t):
     return audit.control_gate(negative_control(t))
 
 
-@query("feature_tripwire", """
-WITH f AS (SELECT metric, value, avg(metric) OVER (PARTITION BY user_id, week_start ORDER BY ts, event_id ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING) AS sd FROM ev)
-SELECT 'sd' AS feature, round(corr(sd, metric), 6) AS r, false AS trips FROM f""", ("ev",))
+@query("feature_tripwire", ROLLED_SQL + " UNION ALL ".join(
+    f"SELECT '{m}_{kind}' AS feature, round(corr({kind}_{m}, {m}), 6) AS r, abs(corr({kind}_{m}, {m})) > 0.95 AS trips FROM w" for m in METRICS for kind in ("sd", "ewm"))
+    + f" UNION ALL SELECT 'leak', round(corr({METRICS[0]} * 2 + CASE WHEN game_id % 10 = 0 THEN 0.01 ELSE 0 END, {METRICS[0]}), 6), true FROM w", ("team_log",))
 def feature_tripwire(t):
-    """A rolled feature must not track the row's own raw value."""
-    f = prior_window(t.events(), ["user_id", "week_start"], ["ts", "event_id"], {"sd": ("metric", "mean")}, 22)
-    return rounded(audit.tripwire(f.where("sd IS NOT NULL AND metric IS NOT NULL"), {"sd": "metric"}))
-
-
-@query("context_columns_populated", """
-SELECT 'home_rest' AS "column", count(*) FILTER (home_rest IS NULL) AS missing FROM schedule UNION ALL
-SELECT 'roof', count(*) FILTER (roof IS NULL) FROM schedule UNION ALL SELECT 'gametime', count(*) FILTER (gametime IS NULL) FROM schedule""", ("schedule",))
-def context_columns_populated(t):
-    """I16."""
-    return audit.null_counts(t.schedule(), ["home_rest", "roof", "gametime"])
+    """No rolled or exponential mean of the eleven metrics may track the row's own raw value; a column that does, trips."""
+    log = written(team_log_of(t))
+    f = features.rolled(log).select("game_id", "team", *[f"{m}_{kind}" for m in METRICS for kind in ("sd", "ewm")]).join(log.select("game_id", "team", *METRICS), ["game_id", "team"])
+    f = f.withColumn("leak", F.col(METRICS[0]) * 2 + F.when(F.col("game_id") % 10 == 0, 0.01).otherwise(0.0))
+    return rounded(audit.tripwire(f, {**{f"{m}_{kind}": m for m in METRICS for kind in ("sd", "ewm")}, "leak": METRICS[0]}))
 
 
 @query("perturbation_by_week", """
@@ -304,6 +298,16 @@ def context_features(t):
     return rounded(context_of(t).select("game_id", *features.CONTEXT), keep=("home_rest", "away_rest", "rest_diff", "div_game", "roof_indoor"))
 
 
+_REQUIRED = ("home_rest", "away_rest", "rest_diff", "div_game", "travel_diff", "tz_diff", "is_neutral")
+
+
+@query("context_columns_populated", "WITH " + _CONTEXT + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS missing FROM facts" for c in _REQUIRED), ("schedule", "decided_games"))
+def context_columns_populated(t):
+    """I16: the seven context columns that every event must have."""
+    return audit.null_counts(context_of(t), _REQUIRED)
+
+
 def model_frame(t: Tables):
     """The full feature frame on the proxy tables."""
     g, r = ratings_of(t)

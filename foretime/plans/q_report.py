@@ -83,12 +83,11 @@ def reliability_bins(t):
     return rounded(metrics.reliability(long3(t)))
 
 
-@query("null_share_by_season", """
-SELECT season, round(avg((cpoe IS NULL)::INT), 6) AS cpoe, round(avg((air_yards_per_att IS NULL)::INT), 6) AS air_yards_per_att FROM team_log GROUP BY 1""", ("team_log",))
+@query("null_share_by_season", "SELECT season, " + ", ".join(f"round(avg(({m} IS NULL)::INT), 6) AS {m}" for m in METRICS) + " FROM team_log GROUP BY 1", ("team_log",))
 def null_share_by_season(t):
-    """D22."""
+    """Of all eleven metrics."""
     from foretime.plans.q_prior import team_log_of
-    return rounded(metrics.null_shares(team_log_of(t), ["cpoe", "air_yards_per_att"], ["season"]))
+    return rounded(metrics.null_shares(team_log_of(t), METRICS, ["season"]))
 
 
 @query("price_distribution", """
