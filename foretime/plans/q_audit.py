@@ -545,31 +545,6 @@ def small_frame(t: Tables):
                            *[(F.col(f"home_{x}_shrunk") - F.col(f"away_{x}_shrunk")).alias(f"d_{x}") for x in SMALL]))
 
 
-@query("walk_forward_backtest", None)
-def walk_forward_backtest(t):
-    """Expanding-season predictions, every row kept."""
-    f = small_frame(t)
-    return models.walk_forward(f, FEATURES, "home_win", models.season_folds(f, 3), models.logistic(0.01), "logistic")
-
-
-@query("penalty_grid_search", None)
-def penalty_grid_search(t):
-    """Penalties over season folds, four metrics, ranks."""
-    f = small_frame(t)
-    return models.grid_search(f, FEATURES, "home_win", models.season_folds(f, 2), {f"C={c:g}": models.logistic(c) for c in (0.01, 1.0, 100.0)})
-
-
-@query("calibration_adoption", None)
-def calibration_adoption(t):
-    """Calibrator from out-of-fold rows, adopted only if log loss does not rise."""
-    f = small_frame(t)
-    s = models.season_folds(f, 3)
-    oof = written(models.walk_forward(f, FEATURES, "home_win", s, models.logistic(1.0)))
-    last = oof.where(F.col("season") == s[-1])
-    cal = models.calibrator(oof.where(F.col("season") < s[-1]))
-    return models.adopt_calibration(last.select("game_id", "y", "p"), models.calibrated(cal, last, ["game_id", "y"]))
-
-
 @query("coefficient_report", None)
 def coefficient_report(t):
     """Weights, shares, expected signs."""
