@@ -14,6 +14,9 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 NAMES = ("prior_window_mean_count", "prior_ewm_by_entity", "asof_last_view_before_purchase", "shrunk_prior_mean_user_week",
          "team_game_log", "rating_chain_audit", "graded_log", "betting_scorecard", "exact_mcnemar_pairs", "model_metrics",
          "price_distribution", "kickoff_utc", "export_pages", "negative_control", "ewm_induction_failures", "perturbation_by_week",
+         "rating_fold_by_pool", "model_frame_full", "open_model_frame", "frame_correlations", "window_oracle_mismatches", "week_documents",
+         "newest_snapshot_rows", "upserted_seasons", "weekly_text_read_back", "landed_snapshots_once", "prior_state_by_arrival",
+         "boosted_tree_splits", "predictions_with_grades", "edge_histogram", "feature_tripwire",
          "reconciled_reports", "parts_that_do_not_add_up", "predicted_without_schedule", "seeded_sample", "snapshot_trigger")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
