@@ -35,9 +35,18 @@ def kickoff(day: Column | str, time: Column | str, zone: Column | str,
 
 
 def utc_offset_hours(when: Column | str, zone: Column | str) -> Column:
-    """Hours ahead of UTC in ``zone`` when its wall clock shows ``when``."""
+    """Hours ahead of UTC in ``zone`` when its wall clock shows ``when``.
+
+    A time that occurs twice (clocks going back) counts as its later occurrence, a time that
+    does not exist (clocks going forward) as one by the clock before the change.
+    """
     when, zone = col(when), col(zone)
-    return (F.unix_timestamp(when) - F.unix_timestamp(F.to_utc_timestamp(when, zone))) / 3600.0
+    first = F.to_utc_timestamp(when, zone)
+    day = F.expr("INTERVAL 24 HOURS")
+    # the same wall time by the offset of a day later: an instant of its own only where it occurs twice
+    later = first + day - (F.from_utc_timestamp(first + day, zone) - when)
+    at = F.when(F.from_utc_timestamp(later, zone) == when, later).otherwise(first)
+    return (F.unix_timestamp(when) - F.unix_timestamp(at)) / 3600.0
 
 
 def iso_utc(when: Column | str) -> Column:
