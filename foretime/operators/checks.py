@@ -19,10 +19,14 @@ def refuse_duplicates(df: DataFrame, keys: Sequence[str], what: str) -> None:
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join that fails when a key occurs twice on either side."""
+    """Join that fails when a key occurs twice on either side.
+
+    Both sides hold a row per key: a file's size says little of how many, so neither goes to the driver
+    to be broadcast.
+    """
     for df, what in ((left, "left side"), (right, "right side")):
         refuse_duplicates(df, keys, what)
-    return left.join(right, list(keys), how)
+    return left.join(right.hint("merge"), list(keys), how)
 
 
 def matched_or_refuse(left: DataFrame, right: DataFrame, keys: Sequence[str],
