@@ -184,16 +184,24 @@ def reconcile(mine: DataFrame, recorded: DataFrame, digits: int = 4) -> DataFram
 
 
 def parts_add_up(report: DataFrame, label: str, whole: str, values: Sequence[str],
-                 tolerance: float = 1e-9) -> DataFrame:
-    """Values whose parts do not sum to the row called ``whole``; one of the two missing counts."""
+                 tolerance: float = 1e-9, rtol: float = 1e-12) -> DataFrame:
+    """Values whose parts do not sum to the row called ``whole``; one of the two missing counts.
+
+    Whole numbers must agree exactly. Doubles round with the size of what was added up: they may differ
+    by ``rtol`` of the largest value in the row called ``whole``.
+    """
+    types = dict(report.dtypes)
     row = report.agg(*[x for i, v in enumerate(values) for x in (
         F.sum(F.when(F.col(label) == whole, F.col(v))).alias(f"w{i}"),
         F.sum(F.when(F.col(label) != whole, F.col(v))).alias(f"p{i}"))])
+    scale = F.array_max(F.array(F.lit(0.0), *[F.abs(F.col(f"w{i}").cast("double")) for i in range(len(values))]))
+    agree = [F.abs(F.col(f"w{i}") - F.col(f"p{i}")) <= (tolerance + scale * rtol if types[v] in ("double", "float") else F.lit(0))
+             for i, v in enumerate(values)]
     cells = [F.struct(F.lit(v).alias("metric"), F.col(f"w{i}").cast("double").alias("whole"),
-                      F.col(f"p{i}").cast("double").alias("parts")) for i, v in enumerate(values)]
+                      F.col(f"p{i}").cast("double").alias("parts"), agree[i].alias("same")) for i, v in enumerate(values)]
     both_missing = F.col("whole").isNull() & F.col("parts").isNull()
     return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where(
-        ~F.coalesce(F.abs(F.col("whole") - F.col("parts")) <= tolerance, both_missing))
+        ~F.coalesce("same", both_missing)).drop("same")
 
 
 def rule_violations(df: DataFrame, rules: Mapping[str, Column], keys: Sequence[str]) -> DataFrame:
