@@ -34,14 +34,16 @@ def kickoff(day: Column | str, time: Column | str, zone: Column | str,
     return local_to_utc(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm")), zone)
 
 
-def utc_offset_hours(when: Column | str, zone: Column | str) -> Column:
+def utc_offset_hours(when: Column | str, zone: Column | str, repeated: str = "first") -> Column:
     """Hours ahead of UTC in ``zone`` when its wall clock shows ``when``.
 
-    A time that occurs twice (clocks going back) counts as its later occurrence, a time that
-    does not exist (clocks going forward) as one by the clock before the change.
+    A time that occurs twice (clocks going back) counts as its ``repeated`` occurrence, ``first`` or
+    ``last``; a time that does not exist (clocks going forward) as one by the clock before the change.
     """
     when, zone = col(when), col(zone)
     first = F.to_utc_timestamp(when, zone)
+    if repeated == "first":
+        return (F.unix_timestamp(when) - F.unix_timestamp(first)) / 3600.0
     day = F.expr("INTERVAL 24 HOURS")
     # the same wall time by the offset of a day later: an instant of its own only where it occurs twice
     later = first + day - (F.from_utc_timestamp(first + day, zone) - when)
