@@ -11,9 +11,11 @@ about k (ln k + 4) of them however long it is, and on when a coordinate stays em
 Equal texts are one class before anything is compared. Bands of signature values
 deal classes into buckets; in a bucket the member that shares the most buckets is
 compared with the others, by exact weighted Jaccard, and what is linked need not be
-compared again. Buckets that still hold several components go on, with more members
-each round, until every pair in them is linked, in one component, compared, or too
-unequal in weight to be similar. No task gathers a bucket.
+compared again. Members of buckets that still hold several components are ordered
+shingle by shingle, the rarest among them first. Two similar sets share a shingle early in
+both: of what comes before the first that they share, neither holds more than the
+similarity leaves. Only pairs of different components with such a shingle are compared, so no
+similar pair is lost and no task gathers a bucket.
 
 Cases: texts without words (null, empty, marks alone) are similar to nothing; a text
 of one to four words is one shingle; equal rows fall into one class; a tie between
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from foretime.llm.common import Interned, low_words, rows_of, sized_groups, stored, text_key, with_text
@@ -36,8 +38,8 @@ from foretime.llm.graph import components
 #: Words per shingle, bands, values per band: a pair at 0.8 meets in a band with 0.99994.
 SHINGLE, BANDS, ROWS = 5, 32, 6
 GROUP_BYTES = 2 << 20
-#: How many times more members of a bucket each further round compares with the rest.
-HUBS = 16
+#: Bounds on whole weights are computed in doubles.
+EPS = 1e-6
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -165,10 +167,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(collect, "node long, set binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are similar enough, with the similarity."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(shingle_sets(docs, named.join(nodes.select("node", "head"), "node")), "shingles")
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    return stored(shingle_sets(docs, wanted.join(nodes.select("node", "head"), "node")), "shingles")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``sets`` are similar enough, with the similarity."""
     rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
@@ -206,35 +210,71 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
                       F.coalesce("n_compared_links", F.lit(0)).cast("long").alias("n_compared_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
+def leading(sets: DataFrame, least: float) -> DataFrame:
+    """(node, element, before) of the shingles that may be the first shared with a similar set, in the order
+    of rarity among ``sets``: the weight before it is at most what the similarity leaves of the whole."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, held in rows_of([b], "node", "set"):
+                x, n = _opened(held)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x.view(np.int64)), pa.array(n)], names=["node", "element", "n"])
+
+    rows = stored(sets.mapInArrow(elements, "node long, element long, n long"), "elements")
+    several = rows.groupBy("element").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = rows.join(several, "element", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    own = W.partitionBy("node")
+    before = F.sum("n").over(own.orderBy("c", "element").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    rows = rows.withColumns({"before": before, "total": F.sum("n").over(own)})
+    return rows.where((F.col("c") > 1) & (F.col("before") <= F.lit(1 - least) * F.col("total") + EPS)).select("node", "element", "before")
+
+
+def may_reach(size: str, before: str, other: Column, least: float) -> Column:
+    """Whether what is not ``before`` the first shared shingle suffices beside a set of size ``other``."""
+    return F.col(size) - F.col(before) + EPS >= F.lit(least / (1 + least)) * (F.col(size) + other)
+
+
+def rare_pairs(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): a superset of the pairs of ``members`` (node, size, label) with different labels that are similar enough."""
+    rows = leading(sets, least).join(members, "node")
+    smallest = rows.groupBy("element").agg(F.min("size").alias("s"))
+    nearest = F.greatest(F.col("s"), F.lit(least) * F.col("size"))
+    rows = stored(rows.join(smallest, "element").where(may_reach("size", "before", nearest, least)).drop("s"), "leading")
+    # pairs within an element's most frequent label needn't be formed
+    counts = rows.groupBy("element", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("element").agg(
+        F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("element", "most")
+    few = rows.join(counts, "element").where("label <> most").drop("most")
+    few = few.select("element", *[F.col(c).alias(f"{c}_x") for c in ("node", "size", "label", "before")])
+    alike = may_reach("size", "before", F.col("size_x"), least) & may_reach("size_x", "before_x", F.col("size"), least)
+    near = F.least("size", "size_x") >= F.lit(least) * F.greatest("size", "size_x") - EPS
+    return few.join(rows, "element").where((F.col("label") != F.col("label_x")) & near & alike).select(
+        F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
+
+
 def linked(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Verified links (a, b) that join all nodes which share a bucket and are similar."""
     rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(rows.join(counts, "bucket"), "buckets")
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
-    state = stored(members.join(score, "node").select("bucket", "node", "size", "score", F.col("node").alias("label")), "buckets")
-    links, done, labels, hubs = None, None, None, 1
-    while True:
-        # the members with the highest scores, one for each of `hubs` shares of a bucket
-        heads = stored(state.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("share")).agg(
-            F.max(F.struct("score", "node", "size", "label")).alias("h")).select(
-            "bucket", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.label").alias("hub_label")), "hubs")
-        # no similarity exceeds the smaller weight's share of the larger
-        alike = F.least("size", "hub_size") >= F.lit(least) * F.greatest("size", "hub_size")
-        pairs = state.join(heads, "bucket").where(alike & F.expr("label <> hub_label")).select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = verified(pairs, nodes, texts, least)
-        links, done = (found, pairs) if done is None else (links.unionByName(found), done.unionByName(pairs))
-        if labels is None or not found.isEmpty():
-            labels = components(links)
-        rest = state.drop("label").join(heads.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").join(
-            labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        state = stored(rest.join(several, "bucket", "left_semi"), "buckets")
-        if state.isEmpty():
-            return links
-        hubs *= HUBS
+    state = stored(members.join(score, "node").select("bucket", "node", "size", "score"), "buckets")
+    heads = stored(state.groupBy("bucket").agg(F.max(F.struct("score", "node", "size")).alias("h")).select(
+        "bucket", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size")), "hubs")
+    # no similarity exceeds the smaller weight's share of the larger
+    alike = F.least("size", "hub_size") >= F.lit(least) * F.greatest("size", "hub_size")
+    pairs = stored(state.join(heads, "bucket").where(alike & F.expr("node <> hub")).select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = verified(pairs, sets_of(named, nodes, texts), least)
+    rest = state.join(heads.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").join(
+        components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    open_ = stored(rest.join(several, "bucket", "left_semi").select("node", "size", "label").distinct(), "open")
+    if open_.isEmpty():
+        return links
+    sets = sets_of(open_.select("node"), nodes, texts)
+    more = stored(rare_pairs(open_, sets, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(verified(more, sets, least))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

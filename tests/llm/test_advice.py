@@ -99,3 +99,27 @@ def test_links_are_named_as_those_compared(spark):
     assert {r.class_id for r in rows} == {0} and "n_links" not in rows[0].asDict()
     # three similar texts are one class by two links or three
     assert sum(r.n_compared_links for r in rows) in (4, 6)
+
+
+def test_near_copies_that_are_not_similar_enough_are_not_paired(spark, monkeypatch):
+    rng, words = np.random.default_rng(7), [f"w{i}" for i in range(200)]
+
+    def edited(name, n):
+        at = set(rng.choice(200, n, replace=False).tolist())
+        return " ".join(f"{name}x{i}" if i in at else w for i, w in enumerate(words))
+
+    texts = [edited(f"m{i}", 1 + i % 3) for i in range(60)] + [edited(f"o{i}", 8) for i in range(40)]
+    sets = [minhash.counted(x) for x in minhash.shingles(texts)]
+    packed = [x.tobytes() + n.astype(np.uint32).tobytes() for x, n in sets]
+    label = list(range(100))
+    for a in range(100):
+        for b in range(a):
+            if label[a] != label[b] and minhash.similarity(packed[a], packed[b]) >= 0.8:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert 20 < len(set(label)) < 60
+    compared, stored = [], minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda d, name: (out := stored(d, name), compared.append(out.count()) if name == "pairs" else None)[0])
+    rows = minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(label))
+    assert sum(compared) < 700
