@@ -20,19 +20,22 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from foretime.llm.common import new_folder, open_folder, rows_of, sized_groups, stored, with_text, write_file
+from foretime.llm.common import new_folder, open_folder, stored, with_text, write_file
 from foretime.llm.tokens import default_tokenizer, encoder
 
 MAGIC = b"WVMX1\n"
-#: Text bytes per shard: about a million tokens, which fit a core's cache.
-SHARD_BYTES = 3 << 20
+#: Text bytes encoded at a time, and tokens per shard, which fit a core's cache.
+BLOCK_BYTES = 12 << 20
+SHARD_TOKENS = 1 << 20
 WORD = 512
 
 
@@ -78,9 +81,10 @@ class WaveletMatrix:
         out = np.zeros(self.n, np.uint32 if self.planes > 16 else np.uint16)
         for k in range(self.planes - 1, -1, -1):
             ones = np.unpackbits(self.bits[k], count=self.n).view(bool)
+            out[self.zeros[k]:] |= out.dtype.type(1 << (self.planes - 1 - k))
             up = np.empty_like(out)
-            up[~ones] = out[:self.zeros[k]]
-            up[ones] = out[self.zeros[k]:] | out.dtype.type(1 << (self.planes - 1 - k))
+            up[np.flatnonzero(~ones)] = out[:self.zeros[k]]
+            up[np.flatnonzero(ones)] = out[self.zeros[k]:]
             out = up
         return out
 
@@ -146,6 +150,25 @@ class WaveletMatrix:
         return i
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order, about BLOCK_BYTES of texts at a time."""
+    held, size = [], 0
+    for b in batches:
+        # the text column's bytes are counted, and a batch may be many blocks
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // BLOCK_BYTES)) + 1).tolist(), b.num_rows]
+        for lo, hi in pairwise(cuts):
+            part = b.slice(lo, hi - lo)
+            more = int(sizes[hi - 1] - (sizes[lo - 1] if lo else 0)) if hi else 0
+            if held and size + more > BLOCK_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += more
+    if held and sum(b.num_rows for b in held):
+        yield pa.concat_batches(held)
+
+
 def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2) -> tuple[str, DataFrame]:
     """Write the shards; the folder and its manifest: (part, shard, file, n_docs, n_tokens)
     in document order, with ``ids`` of the documents and ``first``, the tokens before the shard."""
@@ -160,18 +183,19 @@ def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            ids, at = b.column("id"), 0
-            for group in sized_groups(rows_of([b], "text"), 0, SHARD_BYTES):
-                rows = encoder(tokenizer).encode([t for t, in group])
-                end = np.array([end_id], rows[0].dtype)
-                tokens = np.concatenate([x for r in rows for x in (r, end)])
-                lengths = np.array([len(r) + 1 for r in rows])
-                name = write_file(folder, f"shard-{part:05d}-{n:05d}", build(tokens, lengths))
+        for block in blocks(batches):
+            tokens, lengths = encoder(tokenizer).encode_block(block.column("text"), end_id)
+            ends = np.cumsum(lengths)
+            # documents are in one shard whose last tokens are in the same run of SHARD_TOKENS
+            cuts = [0, *(np.flatnonzero(np.diff((ends - 1) // SHARD_TOKENS)) + 1).tolist(), len(ends)]
+            for lo, hi in pairwise(cuts):
+                held = tokens[ends[lo] - lengths[lo]:ends[hi - 1]]
+                name = write_file(folder, f"shard-{part:05d}-{n:05d}", build(held, lengths[lo:hi]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part]), pa.array([n]), pa.array([name]), pa.array([len(tokens)]), pa.ListArray.from_arrays([0, len(group)], ids.slice(at, len(group)))],
+                    [pa.array([part]), pa.array([n]), pa.array([name]), pa.array([len(held)]), pa.ListArray.from_arrays([0, hi - lo], block.column("id").slice(lo, hi - lo))],
                     names=["part", "shard", "file", "n_tokens", "ids"])
-                n, at = n + 1, at + len(group)
+                n += 1
+        pa.default_memory_pool().release_unused()
 
     manifest = stored(ordered.mapInArrow(shards, f"part long, shard long, file string, n_tokens long, ids array<{kind}>"), "token-manifest")
     # partitions are few rows: their sums give each one's start, and a window inside a partition the shard's
@@ -193,12 +217,12 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 with store.open_input_stream(f"{path}/{b.column('file')[i].as_py()}") as f:
                     shard = WaveletMatrix(f.read())
-                raw = shard.tokens().astype("<u4").tobytes()
+                raw = shard.tokens().astype("<u4")
                 ends = np.cumsum(shard.lengths)
-                starts = ends - shard.lengths
+                cuts = pa.py_buffer(np.append(0, 4 * ends).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("ids")[i].values, pa.array(starts + b.column("first")[i].as_py()), pa.array(shard.lengths),
-                     pa.array([raw[4 * s:4 * e] for s, e in zip(starts, ends, strict=True)], pa.binary())], names=["id", "start", "n_tokens", "tokens"])
+                    [b.column("ids")[i].values, pa.array(ends - shard.lengths + b.column("first")[i].as_py()), pa.array(shard.lengths),
+                     pa.Array.from_buffers(pa.binary(), len(ends), [None, cuts, pa.py_buffer(raw)])], names=["id", "start", "n_tokens", "tokens"])
 
     # shards are few rows in few files: deal them out anew
     parts = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
