@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from foretime.llm.common import Interned, low_words, rows_of, sized_groups, stored, text_key, with_text
+from foretime.llm.common import Interned, arrow_rows, low_words, rows_of, sized_groups, stored, text_key, with_text
 from foretime.llm.graph import components
 
 #: Words per shingle, bands, values per band: a pair at 0.8 meets in a band with 0.99994.
 SHINGLE, BANDS, ROWS = 5, 32, 6
 GROUP_BYTES = 2 << 20
+#: Pairs of sets per Arrow batch.
+PAIR_ROWS = 100
 #: Bounds on whole weights are computed in doubles.
 EPS = 1e-6
 
@@ -181,7 +183,8 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             s = np.array([similarity(x, y) for x, y in rows_of([b], "x", "y")], np.float64)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s)], names=["a", "b", "similarity"]).filter(pa.array(s >= least))
 
-    return stored(rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, similarity double"), "links")
+    with arrow_rows(pairs.sparkSession, PAIR_ROWS):
+        return stored(rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, similarity double"), "links")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from foretime.llm import token_store, tokens  # noqa: E402
+from foretime.llm import minhash, token_store, tokens  # noqa: E402
 
 ODD = [None, "", " ", "  ", "a  b", "x\n \n b", " lead, trail ", "a\t\n b", "don't  stop.", "a <|endoftext|> b", "x<|endoftext|>y", "it's 'tis o'clock' 12, 3.5 a1 1a (b) !! ?!x   y  ",
        "a  ", "q\x1c b\x1c ", "1234!! ab12 ß'S 's 'll\x85 \x85", "日本 語。 áb x́! ǅ ÿ Āɏ÷×", "\n", "a\n", "a b\nc d\n\ne 12\n12! x\n!y a!\n! é!!\nÈ.* a\n q", "u ab\n", " a", "~ \x7f a\x7f \x00 a\r\nb c\xadd"]
@@ -51,3 +51,10 @@ def test_blocks_and_shards_keep_order(spark, monkeypatch):
     got = [b.column("id").to_pylist() for b in token_store.blocks(iter(batches))]
     assert [i for g in got for i in g] == list(range(10)) and len(got) > 3
     assert list(token_store.blocks(iter(batches[1:2]))) == []
+
+
+def test_pairs_of_sets_come_in_small_batches(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(minhash, "stored", lambda df, name: seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or df)
+    minhash.verified(spark.createDataFrame([(1, 2)], "a long, b long"), spark.createDataFrame([(1, b""), (2, b"")], "node long, set binary"), 0.8)
+    assert seen == [str(minhash.PAIR_ROWS)] and minhash.PAIR_ROWS <= 100
